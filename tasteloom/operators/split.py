@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tasteloom.functions.scalars import hash_bucket
-from tasteloom.operators.skew import ROWS_PER_SPLIT, join_by_key
+from tasteloom.operators.skew import ROWS_PER_SPLIT, hot_keys, join_by_key
 
 
 def user_counts(rows: DataFrame, user: str = "user_id", value: str = "q") -> DataFrame:
@@ -43,11 +43,22 @@ def rows_not_in(rows: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def leave_last_out(rows: DataFrame, order: Sequence[str], user: str = "user_id",
-                   value: str = "q") -> DataFrame:
-    """Add `split`: each repeat user's last row is `test`, everything else is `train`."""
-    test = last_rows(rows, order, user, value)
-    train = rows_not_in(rows, test)
-    return (train.withColumn("split", F.lit("train"))
+                   value: str = "q", rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """Add `split`: each repeat user's last row is `test`, everything else is `train`.
+
+    Users of ordinary size are ranked in a window. The few above `rows_per_split` never meet in
+    one task: their last row comes from partial maxima and is then taken off their rows.
+    """
+    hot = F.broadcast(hot_keys(user_counts(rows, user, value), user, rows_per_split=rows_per_split).select(user))
+    rest = [c for c in rows.columns if c not in order]
+    per_user = Window.partitionBy(user)
+    newest = per_user.orderBy(*[F.col(c).desc() for c in [*order, *rest]])
+    is_test = (F.row_number().over(newest) == 1) & (F.count(value).over(per_user) > 1)
+    usual = rows.join(hot, user, "left_anti").withColumn("split", F.when(is_test, "test").otherwise("train"))
+    large = rows.join(hot, user, "left_semi").select(rows.columns)
+    test = last_rows(large, order, user, value)
+    return (usual.select(*rows.columns, "split")
+            .unionByName(rows_not_in(large, test).withColumn("split", F.lit("train")))
             .unionByName(test.withColumn("split", F.lit("test"))))
 
 

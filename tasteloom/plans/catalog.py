@@ -13,7 +13,7 @@ from tasteloom.plans import flows
 from tasteloom.plans.tables import (
     AS_OF, DAYS, EXCLUDED, ORDER, QUOTAS, cleaned, factor_table, interactions, ratings, recent_interactions,
     table, vectors, watchlist)
-from tasteloom.session import new_path, shared_dir, write_once
+from tasteloom.session import new_path, write_once
 from tasteloom.sources import files
 from tasteloom.streaming import monitors as streams
 
@@ -132,7 +132,7 @@ def parquet_round_trip(spark, folder):
 SELECT idx, 'user' AS kind, CAST(user_id AS VARCHAR) AS label FROM u
 UNION ALL SELECT idx + nb, 'item', item_id FROM m, n""")
 def index_map(spark, folder):
-    train = split.part(_split(spark, folder), "train")
+    train = split.part(write_once(_split(spark, folder), "split"), "train")
     stacked = encode.stack_index(encode.dense_index(train, "user_id"), encode.dense_index(train, "item_id"))
     path = new_path(spark, "index-map")
     files.write_index_map(stacked, path)
@@ -392,9 +392,16 @@ def decode_index(spark, folder):
 @query()
 def als_train_score(spark, folder):
     rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
-    estimator = als.estimator(spark)
-    model = estimator.fit(split.part(rows, "train"))
-    return als.metrics_row(als.score(model, split.part(rows, "test")), estimator, 10)
+    factors = als.train(split.part(rows, "train"), "spark")
+    return als.metrics_row(als.score(factors, split.part(rows, "test")), 10)
+
+
+@query()
+def als_split_train_score(spark, folder):
+    """The solver for data with very large users or items."""
+    rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
+    factors = als.train(split.part(rows, "train"), "split", max_iter=5)
+    return als.metrics_row(als.score(factors, split.part(rows, "test")), 10, max_iter=5)
 
 
 @query()
@@ -404,7 +411,7 @@ def als_top_n(spark, folder):
 
 @query()
 def als_top_n_blocked(spark, folder):
-    return als.top_n_blocked(als.estimator(spark).fit(ratings(spark, folder)), 10)
+    return als.top_n_blocked(als.train(ratings(spark, folder), "spark"), 10)
 
 
 @query()
@@ -418,10 +425,9 @@ def als_end_to_end(spark, folder):
 @query()
 def als_grid_search(spark, folder):
     rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
-    shared_dir(spark)
     model, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"],
                                     max_iter=[3, 5], reg_param=[0.1, 1.0], alpha=[1.0], parallelism=4)
-    held_out = als.score(model.bestModel, split.part(rows, "test")).first()["rmse"]
+    held_out = als.score(als.of_model(model.bestModel), split.part(rows, "test")).first()["rmse"]
     return trials.withColumn("best_holdout_rmse", F.lit(held_out))
 
 

@@ -24,22 +24,21 @@ class Recommendations:
 
 
 def als_recommend(rows: DataFrame, keys: Sequence[str], n: int = 10, user: str = "user_id",
-                  item: str = "item_id", group: str = "grp", **settings) -> Recommendations:
+                  item: str = "item_id", group: str = "grp", solver: str = "auto", **settings) -> Recommendations:
     """Clean interactions -> item codes -> implicit ALS -> top-N -> item labels and groups.
 
     Duplicate (user, item) rows stay separate observations.
     """
     index = dense_index(rows, item)
+    # Training, scoring and decoding read the coded rows; the join is done once.
     coded = write_once(ordinal_encode(rows, item, index, "item_code"), "als-ratings")
-    # `coded` is read by training, scoring and decoding; the join is done once.
     ratings = hash_split(coded.select(F.col(user).cast("int").alias("user"), F.col("item_code").cast("int").alias("item"),
                                       F.col("q").cast("float").alias("q"), *keys), keys)
-    estimator = als.estimator(rows.sparkSession, **settings)
-    model = estimator.fit(part(ratings, "train"))
-    metrics = als.metrics_row(als.score(model, part(ratings, "test")), estimator, n)
-    recs = als.top_n(model, n)
-    dimension = item_dimension(coded, "item_code", item, group).withColumn("item", F.col("item_code").cast("int"))
-    decoded = attach_dimension(recs, dimension.drop("item_code"), "item")
+    factors = als.train(part(ratings, "train"), solver, **settings)
+    metrics = als.metrics_row(als.score(factors, part(ratings, "test")), n, **settings)
+    recs = als.top_n_blocked(factors, n)
+    dimension = item_dimension(coded, F.col("item_code").cast("int").alias("item"), item, group)
+    decoded = attach_dimension(recs, dimension, "item")
     return Recommendations(decoded.select(F.col("user").alias(user), item, group, "rating", "rank"), metrics)
 
 
@@ -55,9 +54,10 @@ def fm_recommend(rows: DataFrame, order: Sequence[str], k: int = 10, metric: str
     near = knn(users.toDF("id", "vec"), items.toDF("id", "vec"), k, metric)
     flat = near.select(F.col("query_id").alias("row"), F.col("item_id").alias("label"), "distance", "rank")
     decoded = decode_index(flat, stack_index(model.users, model.items), model.users.count())
-    dimension = item_dimension(rows, F.col(item).alias("item_id"), group)
-    found = attach_dimension(decoded, dimension, "item_id")
-    return Recommendations(found.select("user_id", group, "item_id", "distance", "rank"), metrics)
+    labelled = decoded.withColumnsRenamed({"user_id": user, "item_id": item})
+    dimension = item_dimension(split, F.col(item).cast("string").alias(item), group)
+    found = attach_dimension(labelled, dimension, item)
+    return Recommendations(found.select(user, group, item, "distance", "rank"), metrics)
 
 
 def forest_regression(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str],

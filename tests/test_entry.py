@@ -1,0 +1,35 @@
+import glob
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as driver
+from check import compare
+
+FOLDER = "/root/testdata/sf0.001"
+# Searches over many models: their parts are tested in test_models.py.
+LONG = {"als_grid_search", "range_search", "tuning_cost"}
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    connection.execute("SET TimeZone = 'UTC'")
+    for path in glob.glob(f"{FOLDER}/*.parquet"):
+        connection.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def test_every_sql_has_a_query():
+    assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(driver.queries()) - LONG))
+def test_query(spark, db, name):
+    ok, text = compare(spark, db, name, FOLDER)
+    assert ok, text
+
+
+def test_flagship(spark):
+    assert driver.entry(spark).columns == ["user_id", "item_id", "grp", "rating", "rank"]
