@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +19,39 @@ def dense_index(df: DataFrame, label: str) -> DataFrame:
     return number_rows(labels, ["label"], "idx").select("label", "idx", "n")
 
 
+@dataclass
+class PairIndex:
+    """Codes of both fields. `stacked` is (idx, kind, label, n), users first and items after."""
+    stacked: DataFrame
+    nb_users: int
+    nb_items: int
+    most_rows: dict[str, int]  # rows of the most frequent label, by kind
+
+    @property
+    def users(self) -> DataFrame:
+        return self.stacked.where("kind = 'user'").select("label", "idx", "n")
+
+    @property
+    def items(self) -> DataFrame:
+        return self.stacked.where("kind = 'item'").select(
+            "label", (F.col("idx") - F.lit(self.nb_users)).alias("idx"), "n")
+
+
+def pair_index(rows: DataFrame, user: str = "user_id", item: str = "item_id") -> PairIndex:
+    """Index users and items in one pass: the fields are sorted one after the other."""
+    def named(kind: str, place: int, column: str):
+        return F.struct(F.lit(place).alias("_field"), F.lit(kind).alias("kind"),
+                        F.col(column).cast("string").alias("label"))
+    labels = (rows.select(F.inline(F.array(named("user", 0, user), named("item", 1, item))))
+              .where("label is not null").groupBy("_field", "kind", "label").agg(F.count(F.lit(1)).alias("n")))
+    stacked = number_rows(labels, ["_field", "label"], "idx").select("idx", "kind", "label", "n")
+    sizes = {r["kind"]: r for r in stacked.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("labels"), F.max("n").alias("most")).collect()}  # two rows
+    count = lambda kind, column: sizes[kind][column] if kind in sizes else 0
+    return PairIndex(stacked, count("user", "labels"), count("item", "labels"),
+                     {kind: count(kind, "most") for kind in ("user", "item")})
+
+
 def ordinal_encode(rows: DataFrame, label: str, index: DataFrame, out: str,
                    how: str = "inner", rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """Add the code of `label` as `out`; `how='left'` gives null to labels not in the index."""

@@ -132,19 +132,17 @@ def parquet_round_trip(spark, folder):
 SELECT idx, 'user' AS kind, CAST(user_id AS VARCHAR) AS label FROM u
 UNION ALL SELECT idx + nb, 'item', item_id FROM m, n""")
 def index_map(spark, folder):
-    train = split.part(write_once(_split(spark, folder), "split"), "train")
-    stacked = encode.stack_index(encode.dense_index(train, "user_id"), encode.dense_index(train, "item_id"))
+    index = encode.pair_index(split.part(_split(spark, folder), "train"))
     path = new_path(spark, "index-map")
-    files.write_index_map(stacked, path)
+    files.write_index_map(index.stacked, path)
     return files.read_index_map(spark, path)
 
 
 def _encoded(spark, folder):
-    """Split rows with the codes of the train rows, and the number of train users."""
+    """Split rows with the codes of the train rows, and the index."""
     rows = write_once(_split(spark, folder), "split")
-    train = split.part(rows, "train")
-    users, items = encode.dense_index(train, "user_id"), encode.dense_index(train, "item_id")
-    return encode.encode_pairs(rows, users, items), users.count(), items.count()
+    index = encode.pair_index(split.part(rows, "train"))
+    return encode.encode_pairs(rows, index.users, index.items), index
 
 
 _CELLS = f"""WITH {_MAP}, n AS (SELECT count(*) AS nb FROM u),
@@ -154,14 +152,14 @@ _CELLS = f"""WITH {_MAP}, n AS (SELECT count(*) AS nb FROM u),
 
 @query(_CELLS + " SELECT order_id, line_no, item_id, split, idx FROM cells")
 def one_hot_pairs(spark, folder):
-    encoded, nb_users, _ = _encoded(spark, folder)
-    return encode.one_hot_pairs(encoded, nb_users, ["order_id", "line_no", "item_id", "split"])
+    encoded, index = _encoded(spark, folder)
+    return encode.one_hot_pairs(encoded, index.nb_users, ["order_id", "line_no", "item_id", "split"])
 
 
 def _matrix(spark, folder):
-    encoded, nb_users, nb_items = _encoded(spark, folder)
+    encoded, index = _encoded(spark, folder)
     train = encoded.where("split = 'train'")
-    return encode.one_hot_vectors(train, encoded), nb_users + nb_items
+    return encode.one_hot_vectors(train, encoded), index.nb_users + index.nb_items
 
 
 @query(_CELLS + " SELECT order_id, line_no, item_id, q AS label, CAST(idx AS INTEGER) AS idx, 1.0::DOUBLE AS value FROM cells")
@@ -377,13 +375,11 @@ def decode_groups(spark, folder):
 @query(f"""WITH {_MAP} SELECT CAST(s.user_id AS VARCHAR) AS user_id, m.item_id, s.order_id, s.line_no, s.q AS distance
 FROM s JOIN u USING (user_id) LEFT JOIN m USING (item_id)""")
 def decode_index(spark, folder):
-    rows = write_once(_split(spark, folder), "split")
-    train = split.part(rows, "train")
-    users, items = encode.dense_index(train, "user_id"), encode.dense_index(train, "item_id")
-    coded = encode.encode_pairs(rows, users, items).select(
+    encoded, index = _encoded(spark, folder)
+    coded = encoded.select(
         F.col("user_idx").alias("row"), F.col("item_idx").alias("label"), "order_id", "line_no",
         F.col("q").alias("distance"))
-    return recommend.decode_index(coded, encode.stack_index(users, items), users.count()).select(
+    return recommend.decode_index(coded, index.stacked, index.nb_users).select(
         "user_id", "item_id", "order_id", "line_no", "distance")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tasteloom.operators import als, fm, forest
-from tasteloom.operators.encode import dense_index, ordinal_encode, stack_index
+from tasteloom.operators.encode import dense_index, ordinal_encode
 from tasteloom.operators.evaluate import abs_error_percentiles, rmse
 from tasteloom.operators.knn import knn
 from tasteloom.operators.recommend import attach_dimension, decode_index, item_dimension
@@ -53,7 +53,7 @@ def fm_recommend(rows: DataFrame, order: Sequence[str], k: int = 10, metric: str
     users, items = fm.latent_tables(model.user_factors, model.item_factors)
     near = knn(users.toDF("id", "vec"), items.toDF("id", "vec"), k, metric)
     flat = near.select(F.col("query_id").alias("row"), F.col("item_id").alias("label"), "distance", "rank")
-    decoded = decode_index(flat, stack_index(model.users, model.items), model.users.count())
+    decoded = decode_index(flat, model.index.stacked, model.index.nb_users)
     labelled = decoded.withColumnsRenamed({"user_id": user, "item_id": item})
     dimension = item_dimension(split, F.col(item).cast("string").alias(item), group)
     found = attach_dimension(labelled, dimension, item)

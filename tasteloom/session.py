@@ -53,9 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application. Call it when its results are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_once(df: DataFrame, tag: str) -> DataFrame:
