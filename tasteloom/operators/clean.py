@@ -9,6 +9,10 @@ from pyspark.sql.types import StringType
 
 from tasteloom.functions.scalars import blank_to_null
 
+# The tickers that stand for currencies, and the class labels in code order.
+CURRENCY_TICKERS = ("PESOS", "DOLAR")
+CLASS_LABELS = ("Iris-versicolor", "Iris-setosa", "Iris-virginica")
+
 
 def exclude(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """Drop rows whose `column` is one of `values`; a null value stays."""
@@ -21,7 +25,7 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return blanked.dropna(subset=list(columns or df.columns))
 
 
-def clean_interactions(df: DataFrame, excluded: Sequence[str], keep_ticker: bool = False,
+def clean_interactions(df: DataFrame, excluded: Sequence[str] = CURRENCY_TICKERS, keep_ticker: bool = False,
                        ticker: str = "ticker") -> DataFrame:
     """Exclude pseudo items, then drop incomplete rows over the columns that are kept.
 
@@ -42,7 +46,7 @@ def date_cut(df: DataFrame, ts: str, train: tuple[str, str], test: tuple[str, st
     return part(train), part(test)
 
 
-def recode(df: DataFrame, column: str, labels: Sequence[str], out: str | None = None) -> DataFrame:
+def recode(df: DataFrame, column: str, labels: Sequence[str] = CLASS_LABELS, out: str | None = None) -> DataFrame:
     """Replace each label by its place in `labels`; an unknown label is an error."""
     cases = F.when(F.col(column) == labels[0], 0)
     for code, label in enumerate(labels[1:], start=1):

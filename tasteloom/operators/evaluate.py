@@ -27,10 +27,12 @@ def rmse(df: DataFrame, prediction: str = "prediction", label: str = "label") ->
     return df.agg(F.sqrt(F.avg(squared_error(prediction, label))).alias("rmse"))
 
 
-def binary_metrics(prediction: str = "predicted", label: str = "actual") -> list[Column]:
+def binary_metrics(prediction: str | Column = "predicted", label: str = "actual") -> list[Column]:
     """Aggregate columns for 0/1 predictions: the four counts and the usual ratios."""
+    guess = F.col(prediction) if isinstance(prediction, str) else prediction
+
     def hits(p: int, a: int) -> Column:
-        return F.count_if((F.col(prediction) == p) & (F.col(label) == a))
+        return F.count_if((guess == p) & (F.col(label) == a))
 
     def ratio(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole)
@@ -41,6 +43,21 @@ def binary_metrics(prediction: str = "predicted", label: str = "actual") -> list
             ratio(2 * tp, 2 * tp + fp + fn).alias("f1")]
 
 
+def metrics_for(problem_type: str, ground_truth_attribute: str, inference_attribute: str | None = None,
+                probability_attribute: str | None = None, threshold: float = 0.5) -> list[Column]:
+    """Aggregate columns for a kind of problem; a probability is cut at `threshold`."""
+    if problem_type == "Regression":
+        return regression_metrics(inference_attribute, ground_truth_attribute)
+    if problem_type == "BinaryClassification":
+        guess = (F.col(inference_attribute) if inference_attribute
+                 else (F.col(probability_attribute) >= threshold).cast("int"))
+        return binary_metrics(guess, ground_truth_attribute)
+    if problem_type == "MulticlassClassification":
+        right = F.count_if(F.col(inference_attribute) == F.col(ground_truth_attribute))
+        return [F.count(F.lit(1)).alias("n"), (right / F.count(F.lit(1))).alias("accuracy")]
+    raise ValueError(f"unknown problem type: {problem_type}")
+
+
 def confusion(df: DataFrame, prediction: str = "predicted", label: str = "actual") -> DataFrame:
     return df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
 

@@ -18,9 +18,6 @@ from tasteloom.functions.scalars import hash_bucket
 SAMPLING_PERCENTAGE = 20
 CAPTURE_KINDS = ("REQUEST", "RESPONSE")
 
-PROFILE = "column string, n_rows long, completeness double, n_distinct long, min double, max double, mean double, stddev double, sum double"
-CONSTRAINTS = "column string, kind string, lo double, hi double, allowed array<string>"
-
 
 def capture_sample(df: DataFrame, key: str, payloads: dict[str, str],
                    percent: int = SAMPLING_PERCENTAGE, kinds: Sequence[str] = CAPTURE_KINDS) -> DataFrame:
@@ -44,13 +41,15 @@ def _stack(rows: list[Column], wide: DataFrame, keep: Sequence[str] = ()) -> Dat
 def profile(df: DataFrame, columns: Sequence[str], approx_distinct: bool = False) -> DataFrame:
     """One row per column: completeness, distinct values and, for numbers, their statistics.
 
-    A single pass; `approx_distinct` replaces the exact distinct counts, which shuffle the
-    distinct values of every column.
+    The statistics are one pass. An exact distinct count shuffles a column's distinct values, so
+    each gets its own scan of that one column; counting them together would copy every row once
+    per column. `approx_distinct` keeps everything in the single pass.
     """
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     aggregates = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
-        aggregates += [F.count(c).alias(f"{c}_present"), distinct(c).alias(f"{c}_distinct")]
+        aggregates.append(F.count(c).alias(f"{c}_present"))
+        if approx_distinct:
+            aggregates.append(F.approx_count_distinct(c).alias(f"{c}_distinct"))
         if _is_number(df, c):
             x = F.col(c).cast("double")
             aggregates += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.avg(x).alias(f"{c}_mean"),
@@ -58,12 +57,18 @@ def profile(df: DataFrame, columns: Sequence[str], approx_distinct: bool = False
     none = F.lit(None).cast("double")
 
     def row(c: str) -> Column:
-        number = _is_number(df, c)
-        stats = [(F.col(f"{c}_{s}") if number else none).alias(s) for s in ("min", "max", "mean", "stddev", "sum")]
+        stats = [(F.col(f"{c}_{s}") if _is_number(df, c) else none).alias(s)
+                 for s in ("min", "max", "mean", "stddev", "sum")]
         share = F.when(F.col("_n") > 0, F.col(f"{c}_present") / F.col("_n"))
+        counted = [F.col(f"{c}_distinct").alias("n_distinct")] if approx_distinct else []
         return F.struct(F.lit(c).alias("column"), F.col("_n").alias("n_rows"), share.alias("completeness"),
-                        F.col(f"{c}_distinct").alias("n_distinct"), *stats)
-    return _stack([row(c) for c in columns], df.agg(*aggregates))
+                        *counted, *stats)
+    found = _stack([row(c) for c in columns], df.agg(*aggregates))
+    if not approx_distinct:
+        counts = [df.agg(F.count_distinct(c).alias("n_distinct")).select(F.lit(c).alias("column"), "n_distinct")
+                  for c in columns]
+        found = found.join(reduce(DataFrame.unionByName, counts), "column")
+    return found.select("column", "n_rows", "completeness", "n_distinct", "min", "max", "mean", "stddev", "sum")
 
 
 def suggest_constraints(df: DataFrame, columns: Sequence[str], max_allowed: int = 20) -> DataFrame:
@@ -98,11 +103,6 @@ def suggest_constraints(df: DataFrame, columns: Sequence[str], max_allowed: int
     return reduce(DataFrame.unionByName, texts, numeric)
 
 
-def windowed(df: DataFrame, ts: str, width: str = "1 hour") -> DataFrame:
-    """Add `window_start`, the start of the row's tumbling window."""
-    return df.withColumn("window_start", F.window(ts, width)["start"])
-
-
 def quality_checks(df: DataFrame, constraints: DataFrame) -> tuple[list[Column], list[Column]]:
     """Aggregate columns and violation rows for a set of constraints.
 

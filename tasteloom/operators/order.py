@@ -59,16 +59,24 @@ def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFram
                .join(F.broadcast(starts.select("_part", "_start")), "_part")
                .withColumn("_end", F.col("_start") + F.sum("n").over(upto))
                .withColumn("_begin", F.col("_end") - F.col("n")))
-    targets = df.sparkSession.createDataFrame(
-        [(float(s), k, float(weight)) for s, h in places
-         for k, weight in ((int(h), 1 - (h - int(h))), (min(int(h) + 1, total - 1), h - int(h)))],
-        "share double, rank long, weight double")
-    hit = (F.col("rank") >= F.col("_begin")) & (F.col("rank") < F.col("_end"))
-    return (covered.join(F.broadcast(targets), hit)
+    # Few and known here, so they travel as a constant and each value picks the ranks it covers.
+    targets = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(k).cast("long").alias("rank"),
+                                 F.lit(float(weight)).alias("weight"))
+                        for s, h in places
+                        for k, weight in ((int(h), 1 - (h - int(h))), (min(int(h) + 1, total - 1), h - int(h)))])
+    hits = F.filter(targets, lambda t: (t["rank"] >= F.col("_begin")) & (t["rank"] < F.col("_end")))
+    return (covered.select("value", F.inline(hits))
             .groupBy("share").agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
 
 
 def hashed_sample(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Exactly `size` rows (all when there are fewer), picked by a hash of `key`."""
-    keyed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
-    return number_rows(keyed, ["_hash", key], "_at").where(F.col("_at") < size).drop("_hash", "_at")
+    """Exactly `size` rows (all when there are fewer), picked by a hash of the unique `key`.
+
+    Only the keys are sorted; they give the last hash that still belongs to the sample.
+    """
+    hashed = F.md5(F.col(key).cast("string"))
+    keys = df.select(hashed.alias("_hash"), key)
+    last = number_rows(keys, ["_hash", key], "_at").where(F.col("_at") == size - 1).first()
+    if last is None:
+        return df if size > 0 else df.limit(0)
+    return df.where((hashed < last["_hash"]) | ((hashed == last["_hash"]) & (F.col(key) <= last[key])))

@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# How many items of each group make up the general recommendation.
+GROUP_QUOTAS = {"CEDEARS": 3, "Acciones": 3, "Renta Fija": 4}
+
 
 def item_dimension(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns).distinct()
@@ -16,7 +19,7 @@ def popularity(recs: DataFrame, group: str = "grp", item: str = "item_id") -> Da
     return recs.groupBy(group, item).agg(F.count(F.lit(1)).alias("n"))
 
 
-def general_recommendation(recs: DataFrame, quotas: dict[str, int], group: str = "grp",
+def general_recommendation(recs: DataFrame, quotas: dict[str, int] = GROUP_QUOTAS, group: str = "grp",
                            item: str = "item_id") -> DataFrame:
     """The most frequent items of each group, up to the group's quota, most frequent first.
 
@@ -31,7 +34,7 @@ def general_recommendation(recs: DataFrame, quotas: dict[str, int], group: str =
             .orderBy(F.col("n").desc(), group, item))
 
 
-def general_recommendation_union(recs: DataFrame, quotas: dict[str, int], group: str = "grp",
+def general_recommendation_union(recs: DataFrame, quotas: dict[str, int] = GROUP_QUOTAS, group: str = "grp",
                                  item: str = "item_id") -> DataFrame:
     """The same as a union of one head per group."""
     counted = popularity(recs, group, item)

@@ -556,13 +556,8 @@ def _held_out(spark, folder, dampings=(5.0,)):
     rows = write_once(_split(spark, folder), "split")
     train, test = split.part(rows, "train"), split.part(rows, "test")
     overall = train.agg(F.avg("q")).first()[0]
-    trials = None
-    for trial, damping in enumerate(dampings):
-        means = flows.damped_means(train, damping, overall)
-        one = evaluate.join_truth(means, test.withColumnRenamed("q", "label"), "item_id").withColumns(
-            {"trial": F.lit(trial), "reg": F.lit(damping)})
-        trials = one if trials is None else trials.unionByName(one)
-    return trials
+    means = flows.damped_means(train, dampings, overall)
+    return evaluate.join_truth(means, test.withColumnRenamed("q", "label"), "item_id")
 
 
 @query(f"WITH {_PRED} SELECT user_id, item_id, label, round(prediction, 6) AS prediction FROM j")

@@ -73,8 +73,11 @@ def forest_regression(rows: DataFrame, features: Sequence[str], target: str, key
     return Recommendations(scored, named.unionByName(overall))
 
 
-def damped_means(train: DataFrame, damping: float, overall: float, item: str = "item_id",
+def damped_means(train: DataFrame, dampings: Sequence[float], overall: float, item: str = "item_id",
                  value: str = "q") -> DataFrame:
-    """(item, prediction): each item's mean value, drawn to the overall mean by `damping` rows."""
-    total = F.sum(value) + F.lit(damping * overall)
-    return train.groupBy(item).agg((total / (F.count(value) + F.lit(damping))).alias("prediction"))
+    """(item, trial, reg, prediction): each item's mean value, drawn to the overall mean by `reg`
+    rows. The sums are taken once for all dampings."""
+    sums = train.groupBy(item).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    trials = F.array(*[F.struct(F.lit(n).alias("trial"), F.lit(float(d)).alias("reg")) for n, d in enumerate(dampings)])
+    mean = (F.col("_sum") + F.col("reg") * F.lit(overall)) / (F.col("_n") + F.col("reg"))
+    return sums.select(item, "_sum", "_n", F.inline(trials)).select(item, "trial", "reg", mean.alias("prediction"))

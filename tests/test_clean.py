@@ -19,7 +19,7 @@ def test_null_ticker_passes_the_exclusion(rows):
 
 
 def test_blank_and_null_values_are_incomplete(rows):
-    kept = clean.clean_interactions(rows, ["PESOS", "DOLAR"])
+    kept = clean.clean_interactions(rows)
     assert values(kept) == [("u1", "1", "a", "G"), ("u1", "2", "b", "G")]
 
 

@@ -62,3 +62,13 @@ def test_scalar_functions(spark):
         scalars.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("dot"),
         scalars.euclidean(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("l2")).first()
     assert (row["d"], row["dot"], row["l2"]) == ("2024-02-29", 11.0, 5.0)
+
+
+def test_metrics_by_problem_type(spark):
+    df = spark.createDataFrame([(0.9, 1, 1.0), (0.2, 0, 0.5), (0.7, 0, 0.0)], "p double, truth int, guess double")
+    m = df.agg(*evaluate.metrics_for("BinaryClassification", "truth", probability_attribute="p")).first()
+    assert (m["tp"], m["fp"], m["tn"], m["fn"]) == (1, 1, 1, 0)
+    assert df.agg(*evaluate.metrics_for("Regression", "truth", "guess")).first()["mae"] == 0.5 / 3
+    assert df.agg(*evaluate.metrics_for("MulticlassClassification", "truth", "guess")).first()["accuracy"] == 2 / 3
+    with pytest.raises(ValueError):
+        evaluate.metrics_for("Ranking", "truth")

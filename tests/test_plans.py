@@ -1,0 +1,46 @@
+"""What the physical plans must look like."""
+
+import pytest
+
+import __spark_entry__ as driver
+from tasteloom.operators import split
+from tasteloom.operators.skew import join_by_key
+from tasteloom.plans import tables
+
+BATCH = ["rolling_window", "clean_interactions", "leave_last_out", "multi_interaction_users", "train_rows_anti",
+         "general_recommendation", "ordinal_encode", "one_hot_pairs", "decode_items", "decode_index", "knn_l2",
+         "abs_error_percentiles", "data_profile", "suggest_constraints", "hourly_data_quality", "hourly_model_quality"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_pairs_of_everything(spark, small, name):
+    text = plan(driver.queries()[name](spark, small))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_filters_and_columns_reach_the_scan(spark, small):
+    text = plan(tables.recent_interactions(spark, small))
+    assert "GreaterThanOrEqual(o_orderdate" in text and "o_totalprice" not in text and "l_tax" not in text
+
+
+def test_user_counts_read_two_columns_of_the_fact_table(spark, small):
+    text = plan(split.user_counts(tables.cleaned(spark, small)))
+    assert "l_discount" not in text and "l_shipdate" not in text
+
+
+def test_only_sized_tables_are_broadcast(spark, small):
+    """With automatic broadcasts off, the hot-key table is the only one left: it has at most
+    HOT_KEYS rows. The join itself is shuffled by key and salt."""
+    rows = tables.cleaned(spark, small)
+    counts = split.user_counts(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(join_by_key(rows, counts.select("user_id"), "user_id", counts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [user_id" in text and "_salt" in text
+    assert all("TakeOrderedAndProject" in part for part in text.split("BroadcastExchange")[1:])
