@@ -18,8 +18,8 @@ def user_counts(rows: DataFrame, user: str = "user_id", value: str = "q") -> Dat
 def rows_of_repeat_users(rows: DataFrame, user: str = "user_id", value: str = "q",
                          rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """Rows of users with more than one interaction."""
-    counts = user_counts(rows, user, value)
-    repeat = counts.where("n > 1").select(user)
+    counts = rows.groupBy(user).agg(F.count(value).alias("_present"), F.count(F.lit(1)).alias("n"))
+    repeat = counts.where("_present > 1").select(user)
     return join_by_key(rows, repeat, user, counts, "left_semi", rows_per_split)
 
 
@@ -49,7 +49,8 @@ def leave_last_out(rows: DataFrame, order: Sequence[str], user: str = "user_id",
     Users of ordinary size are ranked in a window. The few above `rows_per_split` never meet in
     one task: their last row comes from partial maxima and is then taken off their rows.
     """
-    hot = F.broadcast(hot_keys(user_counts(rows, user, value), user, rows_per_split=rows_per_split).select(user))
+    sizes = rows.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(sizes, user, rows_per_split=rows_per_split).select(user))
     rest = [c for c in rows.columns if c not in order]
     per_user = Window.partitionBy(user)
     newest = per_user.orderBy(*[F.col(c).desc() for c in [*order, *rest]])

@@ -443,6 +443,15 @@ def fm_train_gradient(spark, folder):
     return fm.score(model, split.part(rows, "test"))
 
 
+@query()
+def fm_range_search(spark, folder):
+    rows = write_once(split.leave_last_out(watchlist(spark, folder), ["ts", "event_id"]), "split")
+    trials = flows.fm_search(split.part(rows, "train"), split.part(rows, "test"),
+                             {"sweeps": (1, 3), "reg": (1.0, 50.0)}, {"num_factors": "4"}, max_jobs=3)
+    best = tune.best_trial(trials, "Minimize")
+    return best.select("trial", F.col("settings")["sweeps"].alias("sweeps"), F.col("settings")["reg"].alias("reg"), "metric")
+
+
 _FM = """w AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value AS q FROM events),
  f AS (SELECT event_id, q, 20.0 + coalesce(a.label, 0) + coalesce(b.label, 0)
   + coalesce(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) AS prediction

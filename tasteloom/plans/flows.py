@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tasteloom.operators import als, fm, forest
+from tasteloom.operators import als, fm, forest, tune
 from tasteloom.operators.encode import dense_index, ordinal_encode
 from tasteloom.operators.evaluate import abs_error_percentiles, rmse
 from tasteloom.operators.knn import knn
@@ -60,10 +60,20 @@ def fm_recommend(rows: DataFrame, order: Sequence[str], k: int = 10, metric: str
     return Recommendations(found.select(user, group, item, "distance", "rank"), metrics)
 
 
+def fm_search(train: DataFrame, test: DataFrame, ranges: Mapping[str, tuple[float, float]],
+              fixed: Mapping[str, object] | None = None, solver: str = "alternating", max_jobs: int = 6,
+              max_parallel_jobs: int = 3, seed: int = 17) -> DataFrame:
+    """Trials of a factorization machine over ranges of hyperparameters, by hold-out RMSE."""
+    def trial(drawn: Mapping[str, float]) -> float:
+        model = fm.train_fm(train, solver=solver, **fm.settings({**(fixed or {}), **drawn}, solver))
+        return fm.score(model, test).first()["rmse"]
+    return tune.range_search(train.sparkSession, trial, ranges, max_jobs, max_parallel_jobs, seed)
+
+
 def forest_regression(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str],
                       shares: Sequence[float] = (0.1, 0.5, 0.9), **settings) -> Recommendations:
     """Split, train a forest, and report error percentiles and RMSE on the test rows."""
-    split = feature_target_split(rows, target, keys)
+    split = write_once(feature_target_split(rows, target, keys), "forest-rows")
     model = forest.train_forest(part(split, "train"), features, **settings)
     scored = write_once(forest.predict(model, part(split, "test")), "forest-scored")
     errors = abs_error_percentiles(scored, "prediction", "target", shares)

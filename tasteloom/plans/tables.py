@@ -25,8 +25,21 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partke
 WINDOW = "WHERE o_orderdate BETWEEN {{date_from}} AND {{date_to}}"
 
 
+# Declared, so opening a table starts no job.
+SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

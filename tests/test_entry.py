@@ -9,7 +9,7 @@ from check import compare
 
 FOLDER = "/root/testdata/sf0.001"
 # Searches over many models: their parts are tested in test_models.py.
-LONG = {"als_grid_search", "range_search", "tuning_cost"}
+LONG = {"als_grid_search", "fm_range_search", "range_search", "tuning_cost"}
 
 
 @pytest.fixture(scope="module")
