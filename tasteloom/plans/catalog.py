@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tasteloom.functions import scalars
-from tasteloom.operators import als, clean, encode, evaluate, fm, forest, monitor, recommend, split, tune
+from tasteloom.operators import als, clean, encode, evaluate, fm, forest, monitor, normal, recommend, split, tune
 from tasteloom.operators.knn import knn
 from tasteloom.plans import flows
 from tasteloom.plans.tables import (
@@ -400,6 +400,55 @@ def als_split_train_score(spark, folder):
     return als.metrics_row(als.score(factors, split.part(rows, "test")), 10, max_iter=5)
 
 
+_WATCH = """w AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value AS q FROM events),
+ y AS (SELECT vec_id AS item, embedding[1]::DOUBLE AS y1, embedding[2]::DOUBLE AS y2 FROM embeddings)"""
+# Two unknowns per key, so SQL can solve the system by determinants.
+_SOLVED = """ SELECT idx, unnest([1, 2])::INTEGER AS pos, round(unnest([(b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12),
+ (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12)]), 6) AS value FROM m"""
+
+
+def _known_factors(spark, folder):
+    return vectors(spark, folder).select(F.col("id").alias("idx"), F.slice("vec", 1, 2).cast("array<double>").alias("factor"))
+
+
+def _solved_cells(found):
+    cells = found.select("idx", F.posexplode("factor").alias("pos", "value"))
+    return rounded(cells.withColumn("pos", F.col("pos") + 1), "value")
+
+
+@query(f"""WITH {_WATCH}, o AS (SELECT user_id, item, sum(abs(q)) AS a, sum(CASE WHEN q > 0 THEN 1 + abs(q) ELSE 0 END) AS b,
+  count(*) FILTER (q > 0) AS n FROM w GROUP BY ALL),
+ g AS (SELECT sum(y1 * y1) AS g11, sum(y1 * y2) AS g12, sum(y2 * y2) AS g22 FROM y),
+ m AS (SELECT user_id AS idx, any_value(g11) + sum(a * y1 * y1) + 0.5 * sum(n) AS a11,
+  any_value(g12) + sum(a * y1 * y2) AS a12, any_value(g22) + sum(a * y2 * y2) + 0.5 * sum(n) AS a22,
+  sum(b * y1) AS b1, sum(b * y2) AS b2 FROM o JOIN y USING (item), g GROUP BY user_id) {_SOLVED}""")
+def als_half_step(spark, folder):
+    """Implicit ALS users for fixed item factors; every key with more than 20 pairs is split."""
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("long").alias("item"), F.col("value").alias("q"))
+    pairs, known = als.observations(rows, 1.0), _known_factors(spark, folder)
+    by_user, by_item = (normal.field(name, pairs.groupBy(F.col(name).alias("idx")).agg(F.count(F.lit(1)).alias("n")),
+                                     als.largest_key(pairs, [name]), 20) for name in ("user_idx", "item_idx"))
+    joined = normal.attach_factors(normal.salted(pairs, [by_user, by_item]), by_item, known)
+    ridge = normal.Ridge(0.5, per_row=True, base=normal.gram(known, "factor", 2))
+    return _solved_cells(normal.solve(joined, by_user, F.col("factor"), F.col("a"), F.col("b"), F.col("n"), 2, ridge))
+
+
+@query(f"""WITH {_WATCH}, m AS (SELECT user_id AS idx, count(*) + 2.0 AS a11, sum(y1) AS a12, sum(y1 * y1) + 2.0 AS a22,
+  sum(q - 25.0 - y2) AS b1, sum((q - 25.0 - y2) * y1) AS b2 FROM w JOIN y USING (item) GROUP BY user_id) {_SOLVED}""")
+def fm_half_step(spark, folder):
+    """Bias and factor of each user for fixed item factors (one factor, the second value as bias)."""
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").alias("user_idx"), F.get_json_object("props", "$.k").cast("long").alias("item_idx"),
+        F.col("value").alias("q"))
+    known = _known_factors(spark, folder)
+    by_user, by_item = (normal.field(name, rows.groupBy(F.col(name).alias("idx")).agg(F.count(F.lit(1)).alias("n")),
+                                     als.largest_key(rows, [name]), 20) for name in ("user_idx", "item_idx"))
+    joined = normal.attach_factors(normal.salted(rows, [by_user, by_item]), by_item, known)
+    x, target = F.array(F.lit(1.0), F.col("factor")[0]), F.col("q") - 25.0 - F.col("factor")[1]
+    return _solved_cells(normal.solve(joined, by_user, x, F.lit(1.0), target, F.lit(1.0), 2, normal.Ridge(2.0)))
+
+
 @query()
 def als_top_n(spark, folder):
     return als.top_n(als.estimator(spark).fit(ratings(spark, folder)), 10)
