@@ -11,6 +11,7 @@ from tasteloom.operators.order import percentiles
 
 
 def join_truth(predictions: DataFrame, truth: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Predictions with their labels. A skewed key is split at run time when both sides are tables."""
     return predictions.join(truth, key, "inner")
 
 

@@ -69,7 +69,8 @@ def attach_dimension(recs: DataFrame, dimension: DataFrame, key: str) -> DataFra
     """Left join on the item. An item with several dimension rows multiplies its rows.
 
     No broadcast is forced: Spark picks one when the dimension's measured size is small, and
-    otherwise splits the skewed items of the shuffled join.
+    otherwise splits the skewed items of the shuffled join. It can do so when the dimension is a
+    table; one that is still being aggregated should be written first (`session.write_once`).
     """
     return recs.join(dimension, key, "left")
 

@@ -356,7 +356,7 @@ SELECT user_id, d.item_id, grp, rating FROM r LEFT JOIN d USING (item_code)""")
 def decode_items(spark, folder):
     rows = cleaned(spark, folder)
     coded = encode.ordinal_encode(rows, "item_id", encode.dense_index(rows, "item_id"), "item_code")
-    dimension = recommend.item_dimension(coded, "item_code", "item_id", "grp")
+    dimension = write_once(recommend.item_dimension(coded, "item_code", "item_id", "grp"), "dimension")
     recs = recommend.explode_recommendations(_top_lists(spark, folder), "user_id")
     recs = recs.join(dimension.select("item_code", "item_id"), "item_id").select("user_id", "item_code", "rating")
     return (recommend.attach_dimension(recs, dimension, "item_code")
@@ -367,7 +367,7 @@ def decode_items(spark, folder):
 SELECT user_id, item_id, rating, CAST(rank AS INTEGER) AS rank, grp FROM top LEFT JOIN d USING (item_id)""")
 def decode_groups(spark, folder):
     recs = recommend.explode_recommendations(_top_lists(spark, folder), "user_id")
-    dimension = recommend.item_dimension(cleaned(spark, folder), "item_id", "grp")
+    dimension = write_once(recommend.item_dimension(cleaned(spark, folder), "item_id", "grp"), "dimension")
     return recommend.attach_dimension(recs, dimension, "item_id").select(
         "user_id", "item_id", "rating", "rank", "grp")
 
@@ -427,8 +427,7 @@ def als_half_step(spark, folder):
     rows = table(spark, folder, "events").select(
         F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("long").alias("item"), F.col("value").alias("q"))
     pairs, known = als.observations(rows, 1.0), _known_factors(spark, folder)
-    by_user, by_item = (normal.field(name, pairs.groupBy(F.col(name).alias("idx")).agg(F.count(F.lit(1)).alias("n")),
-                                     als.largest_key(pairs, [name]), 20) for name in ("user_idx", "item_idx"))
+    by_user, by_item = (normal.field_of(pairs, name, 20) for name in ("user_idx", "item_idx"))
     joined = normal.attach_factors(normal.salted(pairs, [by_user, by_item]), by_item, known)
     ridge = normal.Ridge(0.5, per_row=True, base=normal.gram(known, "factor", 2))
     return _solved_cells(normal.solve(joined, by_user, F.col("factor"), F.col("a"), F.col("b"), F.col("n"), 2, ridge))
@@ -442,8 +441,7 @@ def fm_half_step(spark, folder):
         F.col("user_id").alias("user_idx"), F.get_json_object("props", "$.k").cast("long").alias("item_idx"),
         F.col("value").alias("q"))
     known = _known_factors(spark, folder)
-    by_user, by_item = (normal.field(name, rows.groupBy(F.col(name).alias("idx")).agg(F.count(F.lit(1)).alias("n")),
-                                     als.largest_key(rows, [name]), 20) for name in ("user_idx", "item_idx"))
+    by_user, by_item = (normal.field_of(rows, name, 20) for name in ("user_idx", "item_idx"))
     joined = normal.attach_factors(normal.salted(rows, [by_user, by_item]), by_item, known)
     x, target = F.array(F.lit(1.0), F.col("factor")[0]), F.col("q") - 25.0 - F.col("factor")[1]
     return _solved_cells(normal.solve(joined, by_user, x, F.lit(1.0), target, F.lit(1.0), 2, normal.Ridge(2.0)))
@@ -614,7 +612,7 @@ def _held_out(spark, folder, dampings=(5.0,)):
     rows = write_once(_split(spark, folder), "split")
     train, test = split.part(rows, "train"), split.part(rows, "test")
     overall = train.agg(F.avg("q")).first()[0]
-    means = flows.damped_means(train, dampings, overall)
+    means = write_once(flows.damped_means(train, dampings, overall), "means")
     return evaluate.join_truth(means, test.withColumnRenamed("q", "label"), "item_id")
 
 
@@ -651,7 +649,7 @@ def _scored_events(spark, folder):
 
 
 def _event_predictions(events, baseline):
-    means = baseline.groupBy("user_id", "event_type").agg(F.avg("value").alias("prediction"))
+    means = write_once(baseline.groupBy("user_id", "event_type").agg(F.avg("value").alias("prediction")), "means")
     return (events.join(means, ["user_id", "event_type"])
             .select("event_id", "ts", "prediction", (F.col("prediction") > 50).cast("int").alias("predicted")))
 
@@ -679,7 +677,7 @@ def model_quality_multiclass(spark, folder):
     events = table(spark, folder, "events")
     usual = (events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id")
              .agg(F.max_by("event_type", F.struct("n", "event_type")).alias("predicted")))
-    joined = evaluate.join_truth(usual, events.withColumnRenamed("event_type", "actual"), "user_id")
+    joined = evaluate.join_truth(write_once(usual, "usual"), events.withColumnRenamed("event_type", "actual"), "user_id")
     return evaluate.confusion(joined)
 
 

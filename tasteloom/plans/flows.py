@@ -37,7 +37,7 @@ def als_recommend(rows: DataFrame, keys: Sequence[str], n: int = 10, user: str =
     factors = als.train(part(ratings, "train"), solver, **settings)
     metrics = als.metrics_row(als.score(factors, part(ratings, "test")), n, **settings)
     recs = als.top_n_blocked(factors, n)
-    dimension = item_dimension(coded, F.col("item_code").cast("int").alias("item"), item, group)
+    dimension = write_once(item_dimension(coded, F.col("item_code").cast("int").alias("item"), item, group), "dimension")
     decoded = attach_dimension(recs, dimension, "item")
     return Recommendations(decoded.select(F.col("user").alias(user), item, group, "rating", "rank"), metrics)
 
@@ -55,7 +55,7 @@ def fm_recommend(rows: DataFrame, order: Sequence[str], k: int = 10, metric: str
     flat = near.select(F.col("query_id").alias("row"), F.col("item_id").alias("label"), "distance", "rank")
     decoded = decode_index(flat, model.index.stacked, model.index.nb_users)
     labelled = decoded.withColumnsRenamed({"user_id": user, "item_id": item})
-    dimension = item_dimension(split, F.col(item).cast("string").alias(item), group)
+    dimension = write_once(item_dimension(split, F.col(item).cast("string").alias(item), group), "dimension")
     found = attach_dimension(labelled, dimension, item)
     return Recommendations(found.select(user, group, item, "distance", "rank"), metrics)
 

@@ -1,11 +1,13 @@
 """What the physical plans must look like."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from tasteloom.operators import split
+from tasteloom.operators import normal, recommend, split
 from tasteloom.operators.skew import join_by_key
 from tasteloom.plans import tables
+from tasteloom.session import write_once
 
 BATCH = ["rolling_window", "clean_interactions", "leave_last_out", "multi_interaction_users", "train_rows_anti",
          "general_recommendation", "ordinal_encode", "one_hot_pairs", "decode_items", "decode_index", "knn_l2",
@@ -44,3 +46,44 @@ def test_only_sized_tables_are_broadcast(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin [user_id" in text and "_salt" in text
     assert all("TakeOrderedAndProject" in part for part in text.split("BroadcastExchange")[1:])
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_kept_rows_are_not_shuffled_again_for_their_factors(spark, no_broadcast):
+    rows = spark.range(2000).selectExpr("id % 50 as user_idx", "id % 31 as item_idx", "1.0D as q")
+    by_user, by_item = (normal.field_of(rows, name, 30) for name in ("user_idx", "item_idx"))
+    kept = normal.arranged(normal.salted(rows, [by_user, by_item]), by_item, 3)
+    factors = by_item.sizes.select("idx", normal.starting_factors("idx", 3, 1.0, 1).alias("factor"))
+    joined = normal.attach_factors(kept, by_item, factors)
+    assert joined.count() == 2000
+    text = plan(joined)
+    join = text[text.index("SortMergeJoin [item_idx"):].splitlines()
+    rows_side = [line for line in join[1:4]]
+    assert any("InMemoryTableScan" in line for line in rows_side), text
+    kept.unpersist()
+
+
+def test_skewed_dimension_join_is_split_at_run_time(spark, no_broadcast):
+    """A third of the recommendations are of one item."""
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        recs = spark.range(0, 300_000, 1, 12).selectExpr(
+            "id as user_id", "if(id % 3 = 0, 'hot', cast(id % 5000 as string)) as item_id", "uuid() as pad")
+        dimension = write_once(recs.select("item_id").distinct().withColumn("grp", F.lit("G")), "dimension")
+        found = recommend.attach_dimension(recs, dimension, "item_id")
+        done = found.toPandas()  # the final adaptive plan belongs to the frame that ran
+        assert len(done) == 300_000 and done.grp.notna().all()
+        assert "skew=true" in plan(found)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
