@@ -164,9 +164,10 @@ def anchored_runs(units: np.ndarray, first: np.ndarray, window: int, gram: int)
 
     Equal windows have the same smallest k-gram (their anchor) at the same place, so they can only
     meet in runs with equal anchors, and all windows of two runs are equal where the runs have equal
-    content. Returns item, start (unit within the item), n (windows), anchor and content (hashes).
+    content. Returns item, start (unit within the item), n (windows), offset (of the anchor in the run),
+    anchor and content (hashes).
     """
-    found: dict[str, list[np.ndarray]] = {k: [] for k in ("item", "start", "n", "anchor", "content")}
+    found: dict[str, list[np.ndarray]] = {k: [] for k in ("item", "start", "n", "offset", "anchor", "content")}
     for low, high in slices(first):
         total = int(first[high] - first[low])
         if high - low == 1 and total > SLICE:
@@ -177,7 +178,8 @@ def anchored_runs(units: np.ndarray, first: np.ndarray, window: int, gram: int)
         for begin, end in cuts:
             edges = np.clip(first[low:high + 1], begin, end) - begin
             _runs_of(units[begin:end], edges, window, gram, low, begin - first[low:high], found)
-    kinds = {"item": np.int64, "start": np.int64, "n": np.int64, "anchor": np.uint64, "content": np.uint64}
+    kinds = {"item": np.int64, "start": np.int64, "n": np.int64, "offset": np.int64, "anchor": np.uint64,
+             "content": np.uint64}
     return {k: np.concatenate(v) if v else np.zeros(0, dtype=kinds[k]) for k, v in found.items()}
 
 
@@ -213,6 +215,7 @@ def _runs_of(units, edges, window, gram, low, shift, found) -> None:
     found["item"].append(low + items[heads])
     found["start"].append(begin + shift[items[heads]])
     found["n"].append(n)
+    found["offset"].append(anchor - begin)
     found["anchor"].append(grams[anchor])
     found["content"].append(mixed(content + (n * 1024 + anchor - begin).astype(np.uint64)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import window_dedup
+from tasteloom.llm import suffix_dedup, window_dedup
 from tasteloom.llm.inputs import table
 
 QUERIES = {}
@@ -16,6 +16,12 @@ def query(function):
     return function
 
 
+@query
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = window_dedup.substring_dedup(table(spark, folder, "documents"))
@@ -37,8 +43,8 @@ gone AS (SELECT doc_id, list(i) AS g, list_sort(list(i)) AS o FROM hits GROUP BY
 parts AS (
   SELECT words.doc_id, w, coalesce(g, []) AS g, coalesce(o, []) AS o FROM words LEFT JOIN gone USING (doc_id))
 SELECT doc_id, len(w) AS n_words, len(g) AS n_removed,
-       sha256(coalesce(list_aggregate(list_filter(w, (x, i) -> NOT list_contains(g, i)), 'string_agg', ' '), ''))
+       sha256(coalesce(list_aggregate(list_filter(w, lambda x, i: NOT list_contains(g, i)), 'string_agg', ' '), ''))
          AS kept_sha256,
-       len(list_filter(o, (x, i) -> i = 1 OR o[i - 1] <> x - 1)) AS n_spans
+       len(list_filter(o, lambda x, i: i = 1 OR o[i - 1] <> x - 1)) AS n_spans
 FROM parts
 """

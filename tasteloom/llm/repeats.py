@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tasteloom.llm import arrays
 from tasteloom.session import write_once
 
-# A run never has 2^12 windows (it has at most as many as a window has k-grams), so start and
-# number of windows share one long.
-COUNT_BITS = 12
+# A run has at most as many windows as a window has k-grams, and the anchor lies in its first window.
+# Both numbers stay below 2^10, so they share one long with the start, which sorts first.
+FIELD = 10
+FIELD_MAX = (1 << FIELD) - 1
 # Anchors with more surroundings than this are compared window by window instead of as a group.
 VARIANTS = 4096
 
@@ -55,6 +56,9 @@ def earlier_copies(keys: list[np.ndarray], doc_ids: np.ndarray, places: np.ndarr
 def runs(docs: DataFrame, units: Callable, window: int, gram: int, by_place: bool) -> DataFrame:
     """A row per run of windows of `docs` (doc_id, text). `units(data, offsets)` gives the codes of a
     batch and the first one of each document."""
+    if window > FIELD_MAX:
+        raise ValueError(f"a window has at most {FIELD_MAX} units")
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -63,7 +67,7 @@ def runs(docs: DataFrame, units: Callable, window: int, gram: int, by_place: boo
             if not len(found["n"]):
                 continue
             doc_ids = ids[found["item"]]
-            places = (found["start"] << COUNT_BITS) | found["n"]
+            places = (((found["start"] << FIELD) | found["offset"]) << FIELD) | found["n"]
             spare = earlier_copies([found["anchor"], found["content"]], doc_ids, places, by_place)
             # Superfluous rows are only passed on; a key of their own keeps them out of any group.
             anchor = np.where(spare, arrays.mixed(arrays.mixed(doc_ids.astype(np.uint64)) + places.astype(np.uint64)),
@@ -99,9 +103,8 @@ def open_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def span_table(found: DataFrame, more: DataFrame) -> DataFrame:
     """(doc_id, spans): per document the (start, n windows) to remove; bounded by its length."""
-    count = (1 << COUNT_BITS) - 1
     spans = found.where("removed").select(
-        "doc_id", F.shiftright("place", COUNT_BITS).alias("start"), F.col("place").bitwiseAND(F.lit(count)).alias("n"))
+        "doc_id", F.shiftright("place", 2 * FIELD).alias("start"), F.col("place").bitwiseAND(F.lit(FIELD_MAX)).alias("n"))
     return spans.unionByName(more.select("doc_id", "start", "n")).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -115,11 +118,11 @@ def span_arrays(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_lists(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, anchor, start, n, variants) of all entries of a `runs` column."""
+    """(row, anchor, start, n, offset, variants) of all entries of a `runs` column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
     entries = column.flatten()
     places = entries.field("place").to_numpy()
-    return (rows, entries.field("anchor").to_numpy(), places >> COUNT_BITS, places & ((1 << COUNT_BITS) - 1),
-            entries.field("variants").to_numpy())
+    return (rows, entries.field("anchor").to_numpy(), places >> (2 * FIELD), places & FIELD_MAX,
+            (places >> FIELD) & FIELD_MAX, entries.field("variants").to_numpy())
