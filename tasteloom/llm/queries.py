@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import suffix_dedup, window_dedup
+from tasteloom.llm import fingerprints, suffix_dedup, window_dedup
 from tasteloom.llm.inputs import table
 
 QUERIES = {}
@@ -16,6 +16,15 @@ def query(function):
     return function
 
 
+@query
+def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
