@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import fingerprints, suffix_dedup, window_dedup
+from tasteloom.llm import fingerprints, shards, suffix_dedup, window_dedup
 from tasteloom.llm.inputs import table
 
 QUERIES = {}
@@ -25,6 +25,13 @@ def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+@query
+def op5_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.hilbert_shards(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 @query
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
