@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import fingerprints, shards, suffix_dedup, window_dedup
+from tasteloom.llm import fingerprints, packing, shards, suffix_dedup, token_files, window_dedup
 from tasteloom.llm.inputs import table
+from tasteloom.session import new_path
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -25,6 +31,27 @@ def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [zlib.crc32(i.as_buffer()) for i in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())],
+                                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+@query
+def op3_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                             new_path(spark, "token-files"))
+    return token_files.read_token_files(manifest).mapInArrow(
+        _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@query
+def op9_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op5_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.hilbert_shards(table(spark, folder, "documents")).select(
