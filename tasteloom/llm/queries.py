@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import fingerprints, packing, shards, suffix_dedup, token_files, window_dedup
+from tasteloom.llm import fingerprints, neardup, packing, shards, suffix_dedup, token_files, window_dedup
 from tasteloom.llm.inputs import table
 from tasteloom.session import new_path
 
@@ -31,6 +31,11 @@ def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+@query
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums = [zlib.crc32(i.as_buffer()) for i in batch.column("ids")]
