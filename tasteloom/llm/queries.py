@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import fingerprints, neardup, packing, shards, suffix_dedup, token_files, window_dedup
+from tasteloom.llm import decontaminate, fingerprints, neardup, packing, shards, suffix_dedup, token_files, window_dedup
 from tasteloom.llm.inputs import table
 from tasteloom.session import new_path
 
@@ -52,6 +52,11 @@ def op3_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
         _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@query
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op9_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
