@@ -87,7 +87,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         low = high
 
 
-def _pieces(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Cut bytes at white space into pieces of about `limit`."""
     low = 0
     while low < len(data):
@@ -124,7 +124,7 @@ def word_codes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
         if high - low > 1 or len(part) <= 2 * SLICE:
             cuts = [(0, len(part), offsets[low:high + 1] - offsets[low])]
         else:
-            cuts = [(a, b, np.array([0, b - a])) for a, b in _pieces(part, SLICE)]
+            cuts = [(a, b, np.array([0, b - a])) for a, b in pieces(part, SLICE)]
         for a, b, inner in cuts:
             piece = part[a:b]
             starts, ends, first = word_places(piece, inner)

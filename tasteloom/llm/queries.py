@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import decontaminate, fingerprints, neardup, packing, quality, shards, suffix_dedup, token_files, window_dedup
+from tasteloom.llm import decontaminate, fingerprints, neardup, packing, quality, shards, suffix_dedup, token_files, window_dedup, wrappers
 from tasteloom.llm.inputs import table
 from tasteloom.session import new_path
 
@@ -62,6 +62,11 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, folder, "pages"))
+
+
 @query
 def op9_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
