@@ -1,20 +1,52 @@
-"""A training corpus out of raw documents, stage by stage."""
+"""A training corpus out of raw documents: filter, deduplicate, decontaminate, pack."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tasteloom.llm import window_dedup
+from tasteloom.llm import decontaminate, neardup, packing, quality, window_dedup
 from tasteloom.llm.inputs import prepare, table
 from tasteloom.session import write_once
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on `labels`, rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    prepare(spark)
+    return neardup.without_near_duplicates(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has go out of the texts."""
     prepare(spark)
     return window_dedup.without_repeats(docs)
 
 
-STAGES = [("substring_dedup", substring_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with an item of `benchmark` go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' token ids, placed in sequences of 4096."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("harmonic_packing", harmonic_packing),
+]
+
+# A trained classifier and a tokenizer library have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
