@@ -46,6 +46,18 @@ def date_cut(df: DataFrame, ts: str, train: tuple[str, str], test: tuple[str, st
     return part(train), part(test)
 
 
+def mark_date_cut(df: DataFrame, ts: str, train: tuple[str, str], test: tuple[str, str],
+                  half_open: bool = False) -> DataFrame:
+    """The same in one pass: `split` is `train` or `test`, and a row that both cover comes twice."""
+    kind = df.schema[ts].dataType
+
+    def inside(bounds: tuple[str, str]):
+        low, high = (F.lit(b).cast(kind) for b in bounds)
+        return (F.col(ts) >= low) & ((F.col(ts) < high) if half_open else (F.col(ts) <= high))
+    names = F.array(F.when(inside(train), "train"), F.when(inside(test), "test"))
+    return df.withColumn("split", F.explode(F.array_compact(names)))
+
+
 def recode(df: DataFrame, column: str, labels: Sequence[str] = CLASS_LABELS, out: str | None = None) -> DataFrame:
     """Replace each label by its place in `labels`; an unknown label is an error."""
     cases = F.when(F.col(column) == labels[0], 0)

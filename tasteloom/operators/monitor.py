@@ -74,8 +74,10 @@ def profile(df: DataFrame, columns: Sequence[str], approx_distinct: bool = False
 def suggest_constraints(df: DataFrame, columns: Sequence[str], max_allowed: int = 20) -> DataFrame:
     """Constraint rows from a baseline table.
 
-    completeness (lo = share present), type (lo = share castable to a number), non_negative,
-    range (lo, hi), and allowed_values for text columns with few distinct values.
+    completeness (lo = share present), type (lo = share of present values castable to a number),
+    non_negative, range (lo, hi), and allowed_values for text columns. A text column with more than
+    `max_allowed` values gets a row `values_not_listed` with their number as lo instead; it checks
+    nothing, but says so. Rules that a baseline without values cannot give are left out.
     """
     aggregates, rows = [F.count(F.lit(1)).alias("_n")], []
     none, no_list = F.lit(None).cast("double"), F.lit(None).cast("array<string>")
@@ -86,20 +88,26 @@ def suggest_constraints(df: DataFrame, columns: Sequence[str], max_allowed: int
     for c in columns:
         x = F.col(c).try_cast("double")
         aggregates.append(F.count(c).alias(f"{c}_present"))
-        rows.append(row(c, "completeness", F.col(f"{c}_present") / F.col("_n")))
+        rows.append(F.when(F.col("_n") > 0, row(c, "completeness", F.try_divide(f"{c}_present", "_n"))))
+        aggregates.append(F.count(x).alias(f"{c}_castable"))
+        rows.append(F.when(F.col(f"{c}_present") > 0, row(c, "type", F.try_divide(f"{c}_castable", f"{c}_present"))))
         if _is_number(df, c):
-            aggregates += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.count(x).alias(f"{c}_castable")]
-            rows += [row(c, "type", F.col(f"{c}_castable") / F.col(f"{c}_present")),
-                     F.when(F.col(f"{c}_min") >= 0, row(c, "non_negative", F.lit(0.0))),
-                     row(c, "range", F.col(f"{c}_min"), F.col(f"{c}_max"))]
+            aggregates += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
+            rows += [F.when(F.col(f"{c}_min") >= 0, row(c, "non_negative", F.lit(0.0))),
+                     F.when(F.col(f"{c}_min").isNotNull(), row(c, "range", F.col(f"{c}_min"), F.col(f"{c}_max")))]
     numeric = _stack([F.coalesce(r, F.lit(None)) for r in rows], df.agg(*aggregates)).where("column is not null")
-    # At most max_allowed + 1 values of a text column are ever collected.
-    texts = [df.select(F.col(c).alias("_v")).where("_v is not null").distinct().limit(max_allowed + 1)
-             .agg(F.sort_array(F.collect_list("_v")).alias("allowed"))
-             .where(F.size("allowed").between(1, max_allowed))
-             .select(F.lit(c).alias("column"), F.lit("allowed_values").alias("kind"),
-                     none.alias("lo"), none.alias("hi"), "allowed")
-             for c in columns if isinstance(df.schema[c].dataType, StringType)]
+    texts = []
+    for c in columns:
+        if isinstance(df.schema[c].dataType, StringType):
+            values = df.select(F.col(c).alias("_v")).where("_v is not null").distinct()
+            # At most max_allowed + 1 values of a text column are ever collected.
+            texts.append(values.limit(max_allowed + 1).agg(F.sort_array(F.collect_list("_v")).alias("allowed"))
+                         .where(F.size("allowed").between(1, max_allowed))
+                         .select(F.lit(c).alias("column"), F.lit("allowed_values").alias("kind"),
+                                 none.alias("lo"), none.alias("hi"), "allowed"))
+            texts.append(values.agg(F.count("_v").alias("n")).where(F.col("n") > max_allowed)
+                         .select(F.lit(c).alias("column"), F.lit("values_not_listed").alias("kind"),
+                                 F.col("n").cast("double").alias("lo"), none.alias("hi"), no_list.alias("allowed")))
     return reduce(DataFrame.unionByName, texts, numeric)
 
 
@@ -134,6 +142,8 @@ def quality_checks(df: DataFrame, constraints: DataFrame) -> tuple[list[Column],
             aggregates[f"{c}_unknown"] = F.count_if(~known).alias(f"{c}_unknown")
             checks = [("allowed_values", F.col(f"{c}_unknown").cast("double"), 0.0, False)]
         for name, observed, bound, is_floor in checks:
+            if bound is None:
+                continue
             broken = observed < F.lit(bound) if is_floor else observed > F.lit(bound)
             rows.append(F.when(broken, F.struct(F.lit(c).alias("column"), F.lit(name).alias("kind"),
                                                 observed.alias("observed"), F.lit(float(bound)).alias("bound"))))
@@ -151,7 +161,8 @@ def data_quality(df: DataFrame, constraints: DataFrame, ts: str, width: str = "1
     records = preprocess(df) if preprocess else df
     aggregates, rows = quality_checks(records, constraints)
     per_window = records.groupBy(F.window(ts, width)).agg(*aggregates)
-    found = (per_window.select(F.col("window.start").alias("window_start"), F.explode(F.array(*rows)).alias("_v"))
+    violations = F.array(*rows).cast("array<struct<column:string,kind:string,observed:double,bound:double>>")
+    found = (per_window.select(F.col("window.start").alias("window_start"), F.explode(violations).alias("_v"))
              .where("_v is not null").select("window_start", "_v.*"))
     return postprocess(found) if postprocess else found
 
@@ -166,6 +177,29 @@ def model_quality(joined: DataFrame, ts: str, metrics: Sequence[Column], width:
     return postprocess(found) if postprocess else found
 
 
+def suggest_metric_bounds(joined: DataFrame, metrics: Sequence[Column], ceilings: Sequence[str] = (),
+                          floors: Sequence[str] = ()) -> DataFrame:
+    """(metric, bound, is_floor) from a baseline: its own value of each metric is the highest allowed
+    one of `ceilings` (errors) and the lowest of `floors` (accuracies). Metrics that the baseline does
+    not define get no bound."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("bound"), F.lit(floor).alias("is_floor"))
+            for names, floor in ((ceilings, False), (floors, True)) for m in names]
+    return _stack(rows, joined.agg(*metrics)).where("bound is not null")
+
+
+def metric_breaches(found: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(window_start, metric, observed, bound) where a metric of a window is beyond its bound; batch or
+    stream. `found` comes from `model_quality`; the bounds, one row per metric, are read once here."""
+    rows = []
+    for r in bounds.where(F.col("metric").isin(found.columns)).collect():
+        observed, bound = F.col(r["metric"]).cast("double"), F.lit(r["bound"])
+        rows.append(F.when(observed < bound if r["is_floor"] else observed > bound, F.struct(
+            F.lit(r["metric"]).alias("metric"), observed.alias("observed"), bound.alias("bound"))))
+    kind = "array<struct<metric:string,observed:double,bound:double>>"
+    return (found.select("window_start", F.explode(F.array(*rows).cast(kind)).alias("_v"))
+            .where("_v is not null").select("window_start", "_v.*"))
+
+
 def operations(df: DataFrame, ts: str, is_error: Column, latency: str, width: str = "1 hour") -> DataFrame:
     """Invocations, errors and latency per window; batch or stream."""
     return (df.groupBy(F.window(ts, width))

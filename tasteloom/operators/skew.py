@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with more rows than this is split; the split is never finer than MAX_SPLITS.
+# A key with more rows than this is split. There are at most rows / ROWS_PER_SPLIT such keys, so their
+# table (12 bytes a key) is a millionth of the data and can be broadcast.
 ROWS_PER_SPLIT = 1_000_000
-MAX_SPLITS = 4096
-# Only this many keys are looked up as hot. A key outside the largest HOT_KEYS holds less than
-# 1/HOT_KEYS of the rows, so leaving it whole is safe, and the broadcast stays below 1 MB.
-HOT_KEYS = 10_000
+NULL_SPLITS = (1 << 31) - 1
 
 
 def split_count(rows: Column, rows_per_split: int = ROWS_PER_SPLIT) -> Column:
-    return F.least(F.lit(MAX_SPLITS), F.ceil(rows / F.lit(rows_per_split))).cast("int")
+    return F.ceil(rows / F.lit(rows_per_split)).cast("int")
 
 
 def row_salt(columns: list[str], splits: Column) -> Column:
@@ -27,9 +25,8 @@ def row_salt(columns: list[str], splits: Column) -> Column:
 
 def hot_keys(counts: DataFrame, key: str, rows: str = "n",
              rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """(key, splits) for the largest keys; at most HOT_KEYS rows."""
-    return (counts.where(F.col(rows) > rows_per_split)
-            .orderBy(F.col(rows).desc(), key).limit(HOT_KEYS)
+    """(key, splits) for the keys with more than `rows_per_split` rows."""
+    return (counts.where(F.col(key).isNotNull() & (F.col(rows) > rows_per_split))
             .select(key, split_count(F.col(rows), rows_per_split).alias("_splits")))
 
 
@@ -44,7 +41,7 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     hot = F.broadcast(hot_keys(counts, key, rows_per_split=rows_per_split))
     one = F.coalesce(F.col("_splits"), F.lit(1))
     # Null keys match nothing, so an outer join may spread them as widely as it likes.
-    spread = F.when(F.col(key).isNull(), F.lit(MAX_SPLITS)).otherwise(one)
+    spread = F.when(F.col(key).isNull(), F.lit(NULL_SPLITS)).otherwise(one)
     left = (rows.join(hot, key, "left")
             .withColumn("_salt", row_salt(rows.columns, spread)).drop("_splits"))
     right = (table.join(hot, key, "left")

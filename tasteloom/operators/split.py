@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tasteloom.functions.scalars import hash_bucket
-from tasteloom.operators.skew import ROWS_PER_SPLIT, hot_keys, join_by_key
+from tasteloom.operators.skew import ROWS_PER_SPLIT, join_by_key
+from tasteloom.session import write_once
 
 
 def user_counts(rows: DataFrame, user: str = "user_id", value: str = "q") -> DataFrame:
@@ -43,24 +44,20 @@ def rows_not_in(rows: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def leave_last_out(rows: DataFrame, order: Sequence[str], user: str = "user_id",
-                   value: str = "q", rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+                   value: str = "q") -> DataFrame:
     """Add `split`: each repeat user's last row is `test`, everything else is `train`.
 
-    Users of ordinary size are ranked in a window. The few above `rows_per_split` never meet in
-    one task: their last row comes from partial maxima and is then taken off their rows.
+    The rows are written once with a number. A user's last row is the maximum of a struct, combined
+    before the shuffle, so a user's rows are never brought together, whatever their number; the
+    winners are marked by their numbers. Rows without a user stay in `train`.
     """
-    sizes = rows.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(sizes, user, rows_per_split=rows_per_split).select(user))
     rest = [c for c in rows.columns if c not in order]
-    per_user = Window.partitionBy(user)
-    newest = per_user.orderBy(*[F.col(c).desc() for c in [*order, *rest]])
-    is_test = (F.row_number().over(newest) == 1) & (F.count(value).over(per_user) > 1)
-    usual = rows.join(hot, user, "left_anti").withColumn("split", F.when(is_test, "test").otherwise("train"))
-    large = rows.join(hot, user, "left_semi").select(rows.columns)
-    test = last_rows(large, order, user, value)
-    return (usual.select(*rows.columns, "split")
-            .unionByName(rows_not_in(large, test).withColumn("split", F.lit("train")))
-            .unionByName(test.withColumn("split", F.lit("test"))))
+    stored = write_once(rows.withColumn("_row", F.monotonically_increasing_id()), "split-rows")
+    newest = F.max(F.struct(*[F.col(c) for c in [*order, *rest, "_row"]]))
+    test = (stored.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("_user"))
+            .agg(newest.alias("_last"), F.count(value).alias("_n"))
+            .where("_n > 1").select(F.col("_last._row").alias("_row"), F.lit("test").alias("split")))
+    return stored.join(test, "_row", "left").select(*rows.columns, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], train_percent: int = 80) -> DataFrame:

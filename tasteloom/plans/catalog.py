@@ -215,9 +215,7 @@ def clean_with_ticker(spark, folder):
 @query(f"""WITH {_C} SELECT *, 'train' AS split FROM c WHERE ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-01-01'
 UNION ALL SELECT *, 'test' FROM c WHERE ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '2001-08-01'""")
 def date_cut(spark, folder):
-    train, test = clean.date_cut(cleaned(spark, folder), "ts", ("1995-01-01", "1998-01-01"),
-                                 ("1998-01-01", "2001-08-01"))
-    return (train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))))
+    return clean.mark_date_cut(cleaned(spark, folder), "ts", ("1995-01-01", "1998-01-01"), ("1998-01-01", "2001-08-01"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey,
@@ -251,12 +249,12 @@ def watchlist_leave_last_out(spark, folder):
 
 @query(f"WITH {_C} SELECT * FROM c WHERE user_id IN (SELECT user_id FROM c GROUP BY user_id HAVING count(q) > 1)")
 def multi_interaction_users(spark, folder):
-    return split.rows_of_repeat_users(cleaned(spark, folder))
+    return split.rows_of_repeat_users(write_once(cleaned(spark, folder), "cleaned"))
 
 
 @query(f"WITH {_S} SELECT user_id, item_id, grp, q, ts, order_id, line_no FROM train")
 def train_rows_anti(spark, folder):
-    rows = cleaned(spark, folder)
+    rows = write_once(cleaned(spark, folder), "cleaned")
     return split.rows_not_in(rows, split.last_rows(rows, ORDER))
 
 
@@ -313,21 +311,44 @@ def general_recommendation(spark, folder):
 
 @query(_GENERAL)
 def general_recommendation_union(spark, folder):
-    return recommend.general_recommendation_union(cleaned(spark, folder), QUOTAS)
+    return recommend.general_recommendation_union(write_once(cleaned(spark, folder), "cleaned"), QUOTAS)
+
+
+_OFTEN = f"""WITH {_TOP}, d AS (SELECT DISTINCT item_id, grp FROM c),
+ n AS (SELECT grp, item_id, count(*) AS n FROM top JOIN d USING (item_id) GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, item_id) AS rn FROM n)
+SELECT grp, item_id, n FROM r JOIN (VALUES ('ECONOMY', 3), ('SMALL', 3), ('PROMO', 4)) v(g, quota) ON g = grp
+WHERE rn <= quota"""
+
+
+@query(_OFTEN)
+def general_from_lists(spark, folder):
+    """The items that the users' lists recommend most often."""
+    rows = write_once(cleaned(spark, folder), "cleaned")
+    recs = recommend.explode_recommendations(_top_lists(rows), "user_id")
+    dimension = write_once(recommend.item_dimension(rows, "item_id", "grp"), "dimension")
+    return recommend.general_recommendation(recommend.attach_dimension(recs, dimension, "item_id"), QUOTAS)
 
 
 @query(f"""WITH {_C}, m AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS item_code
 FROM (SELECT DISTINCT item_id FROM c)) SELECT c.*, item_code FROM c JOIN m USING (item_id)""")
 def ordinal_encode(spark, folder):
-    rows = cleaned(spark, folder)
+    rows = write_once(cleaned(spark, folder), "cleaned")
     return encode.ordinal_encode(rows, "item_id", encode.dense_index(rows, "item_id"), "item_code")
 
 
+@query(SQL["ordinal_encode"])
+def ordinal_encode_hot(spark, folder):
+    """Every item with more than 20 rows is split."""
+    rows = write_once(cleaned(spark, folder), "cleaned")
+    return encode.ordinal_encode(rows, "item_id", encode.dense_index(rows, "item_id"), "item_code", rows_per_split=20)
+
+
 # ---------------------------------------------------------------- lists and decoding
 
-def _top_lists(spark, folder):
+def _top_lists(rows):
     """Each user's ten largest holdings as a list of structs, largest first."""
-    totals = cleaned(spark, folder).groupBy("user_id", "item_id").agg(F.sum("q").alias("rating"))
+    totals = rows.groupBy("user_id", "item_id").agg(F.sum("q").alias("rating"))
     best = Window.partitionBy("user_id").orderBy(F.col("rating").desc(), "item_id")
     top = totals.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
     entries = F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id", "rating"))),
@@ -337,7 +358,7 @@ def _top_lists(spark, folder):
 
 @query(f"WITH {_TOP} SELECT user_id, item_id, rating, CAST(rank AS INTEGER) AS rank FROM top")
 def explode_recommendations(spark, folder):
-    return recommend.explode_recommendations(_top_lists(spark, folder), "user_id")
+    return recommend.explode_recommendations(_top_lists(cleaned(spark, folder)), "user_id")
 
 
 @query("WITH " + _KNN.format(distance=_L2, on="a.vec_id <> b.vec_id", k=5) + """
@@ -354,10 +375,10 @@ def flatten_neighbours(spark, folder):
  r AS (SELECT user_id, item_code, rating FROM top JOIN m USING (item_id))
 SELECT user_id, d.item_id, grp, rating FROM r LEFT JOIN d USING (item_code)""")
 def decode_items(spark, folder):
-    rows = cleaned(spark, folder)
+    rows = write_once(cleaned(spark, folder), "cleaned")
     coded = encode.ordinal_encode(rows, "item_id", encode.dense_index(rows, "item_id"), "item_code")
     dimension = write_once(recommend.item_dimension(coded, "item_code", "item_id", "grp"), "dimension")
-    recs = recommend.explode_recommendations(_top_lists(spark, folder), "user_id")
+    recs = recommend.explode_recommendations(_top_lists(rows), "user_id")
     recs = recs.join(dimension.select("item_code", "item_id"), "item_id").select("user_id", "item_code", "rating")
     return (recommend.attach_dimension(recs, dimension, "item_code")
             .select("user_id", "item_id", "grp", "rating"))
@@ -366,8 +387,9 @@ def decode_items(spark, folder):
 @query(f"""WITH {_TOP}, d AS (SELECT DISTINCT item_id, grp FROM c)
 SELECT user_id, item_id, rating, CAST(rank AS INTEGER) AS rank, grp FROM top LEFT JOIN d USING (item_id)""")
 def decode_groups(spark, folder):
-    recs = recommend.explode_recommendations(_top_lists(spark, folder), "user_id")
-    dimension = write_once(recommend.item_dimension(cleaned(spark, folder), "item_id", "grp"), "dimension")
+    rows = write_once(cleaned(spark, folder), "cleaned")
+    recs = recommend.explode_recommendations(_top_lists(rows), "user_id")
+    dimension = write_once(recommend.item_dimension(rows, "item_id", "grp"), "dimension")
     return recommend.attach_dimension(recs, dimension, "item_id").select(
         "user_id", "item_id", "rating", "rank", "grp")
 
@@ -548,6 +570,65 @@ def knn_ip(spark, folder):
     return rounded(knn(v, v, 10, "ip"), "distance", places=4)
 
 
+@query(SQL["knn_l2"])
+def knn_l2_blocks(spark, folder):
+    """The same search over many small blocks."""
+    v = vectors(spark, folder)
+    return rounded(knn(v, v, 10, "l2", exclude_self=True, items_per_block=60, queries_per_chunk=100), "distance", places=4)
+
+
+@query(SQL["knn_ip"])
+def knn_ip_blocks(spark, folder):
+    v = vectors(spark, folder)
+    return rounded(knn(v, v, 10, "ip", items_per_block=60, queries_per_chunk=100), "distance", places=4)
+
+
+_FIXED = "WITH " + _KNN.format(distance=_IP, on="true", k=10) + """,
+ top AS (SELECT query_id AS "user", item_id AS item, round((-d)::FLOAT::DOUBLE, 4) AS rating, rank::INTEGER AS rank FROM near)"""
+
+
+def _fixed_lists(spark, folder):
+    """Top lists of a model whose factors are the vectors."""
+    factors = vectors(spark, folder).toDF("idx", "factor")
+    found = als.top_n_blocked(als.Factors(factors, factors, 64), 10)
+    return rounded(found.withColumn("rating", F.col("rating").cast("double")), "rating", places=4)
+
+
+@query(_FIXED + " SELECT * FROM top")
+def als_top_n_fixed(spark, folder):
+    return _fixed_lists(spark, folder)
+
+
+@query(_FIXED + """ SELECT 'u' || "user" AS user_id, p.p_name AS item_id, p.p_type AS grp, rating, rank
+FROM top JOIN part p ON item + 1 = p.p_partkey JOIN part u ON "user" + 1 = u.p_partkey""")
+def als_decode_fixed(spark, folder):
+    """Decoding and group join at the end of the ALS flow."""
+    parts = table(spark, folder, "part").join(
+        vectors(spark, folder).select((F.col("id") + 1).alias("p_partkey")), "p_partkey")
+    coded = parts.select((F.col("p_partkey") - 1).alias("item_code"), F.col("p_name").alias("item_id"), F.col("p_type").alias("grp"),
+                         (F.col("p_partkey") - 1).alias("user_code"), F.concat(F.lit("u"), F.col("p_partkey") - 1).alias("user_id"))
+    recs = _fixed_lists(spark, folder)
+    known = coded.select(F.col("item_code").cast("int").alias("item"))
+    return flows.als_decode(recs.join(known, "item", "left_semi"), coded, recs, "user_id", "item_id", "grp").rows
+
+
+@query("WITH " + _KNN.format(distance="-(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + b.label)", on="true", k=10) + """
+SELECT 'u' || query_id AS user_id, 'i' || item_id AS item_id, round(d, 4) AS distance, rank::INTEGER AS rank, label AS grp
+FROM near JOIN embeddings ON vec_id = item_id""")
+def fm_knn_decode_fixed(spark, folder):
+    """Latent tables of fixed factors, search, decoding and group join at the end of the FM flow."""
+    factors = factor_table(spark, folder)
+    users, items = fm.latent_tables(factors, factors)
+    near = knn(users.toDF("id", "vec"), items.toDF("id", "vec"), 10, "ip")
+    nb_users = factors.count()
+    index = factors.select("idx", F.lit("user").alias("kind"), F.concat(F.lit("u"), "idx").alias("label")).unionByName(
+        factors.select((F.col("idx") + nb_users).alias("idx"), F.lit("item").alias("kind"), F.concat(F.lit("i"), "idx").alias("label")))
+    flat = near.select(F.col("query_id").alias("row"), F.col("item_id").alias("label"), "distance", "rank")
+    groups = table(spark, folder, "embeddings").select(F.concat(F.lit("i"), "vec_id").alias("item_id"), F.col("label").alias("grp"))
+    found = recommend.attach_dimension(recommend.decode_index(flat, index, nb_users), groups, "item_id")
+    return rounded(found.select("user_id", "item_id", "distance", "rank", "grp"), "distance", places=4)
+
+
 @query("WITH keep AS (SELECT vec_id FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 100), "
        + _KNN.format(distance=_L2, on="b.vec_id IN (SELECT vec_id FROM keep)", k=10) + _NEAR)
 def knn_sampled_items(spark, folder):
@@ -572,24 +653,20 @@ def _forest_rows(spark, folder):
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey"]
+_DEPTH = 12  # of the registered forests; the library's default has no bound but Spark's
 
 
 @query()
 def forest_regression(spark, folder):
-    return flows.forest_regression(_forest_rows(spark, folder), _FEATURES, "l_extendedprice", _LINE).metrics
+    return flows.forest_regression(_forest_rows(spark, folder), _FEATURES, "l_extendedprice", _LINE, trees=50, depth=_DEPTH).metrics
 
 
 def _search(spark, folder):
     rows = write_once(split.feature_target_split(_forest_rows(spark, folder), "l_extendedprice", _LINE), "forest")
     train, test = split.part(rows, "train"), split.part(rows, "test")
 
-    def trial(settings):
-        model = forest.train_forest(train, _FEATURES, trees=settings["n_estimators"],
-                                    min_leaf=settings["min_samples_leaf"])
-        return evaluate.abs_error_percentiles(
-            forest.predict(model, test), "prediction", "target", [0.5]).first()["value"]
     ranges = {"n_estimators": (20, 100), "min_samples_leaf": (2, 6)}
-    return tune.range_search(spark, trial, ranges, max_jobs=3, max_parallel_jobs=3)
+    return flows.forest_search(train, test, _FEATURES, ranges, max_jobs=6, max_parallel_jobs=3, depth=_DEPTH)
 
 
 @query()
@@ -746,6 +823,7 @@ UNION ALL SELECT '{c}', 'range', min({c})::DOUBLE, max({c})::DOUBLE, NULL FROM b
 
 @query(f"""WITH {_BASE} {_number_rules('value')} UNION ALL {_number_rules('user_id')}
 UNION ALL SELECT 'event_type', 'completeness', count(event_type) / count(*), NULL, NULL FROM b
+UNION ALL SELECT 'event_type', 'type', count(TRY_CAST(event_type AS DOUBLE)) / count(event_type), NULL, NULL FROM b
 UNION ALL SELECT 'event_type', 'allowed_values', NULL, NULL, string_agg(DISTINCT event_type, ',' ORDER BY event_type) FROM b""")
 def suggest_constraints(spark, folder):
     found = monitor.suggest_constraints(_baseline(spark, folder), _CHECKED)
@@ -819,7 +897,7 @@ def latest_events(spark, folder):
 # ---------------------------------------------------------------- streaming
 
 def _stream(spark, folder):
-    return streams.read_events(spark, folder, table(spark, folder, "events").schema, pattern="events.parquet")
+    return streams.read_events(spark, f"{folder}/events.parquet", table(spark, folder, "events").schema)
 
 
 def _zoneless(df: DataFrame) -> DataFrame:
@@ -854,6 +932,35 @@ def hourly_model_quality_two_streams(spark, folder):
     return rounded(_zoneless(found), "mae", "mse", "rmse", "r2")
 
 
+_MB = f"""WITH {_EV}, o AS (SELECT avg(abs(prediction - label)) AS mae, sqrt(avg((prediction - label) ** 2)) AS rmse,
+  count(*) FILTER (predicted = actual) / count(*) AS accuracy FROM e WHERE ts < TIMESTAMP '{_BASELINE_END}'),
+ h AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, avg(abs(prediction - label)) AS mae,
+  sqrt(avg((prediction - label) ** 2)) AS rmse, count(*) FILTER (predicted = actual) / count(*) AS accuracy FROM e GROUP BY 1),
+ v AS (SELECT window_start, 'mae' AS metric, h.mae AS observed, o.mae AS bound FROM h, o WHERE h.mae > o.mae
+  UNION ALL SELECT window_start, 'rmse', h.rmse, o.rmse FROM h, o WHERE h.rmse > o.rmse
+  UNION ALL SELECT window_start, 'accuracy', h.accuracy, o.accuracy FROM h, o WHERE h.accuracy < o.accuracy)
+SELECT window_start, metric, round(observed, 6) AS observed, round(bound, 6) AS bound FROM v"""
+
+
+def _metric_bounds(spark, folder):
+    scored = _scored_events(spark, folder).where(F.col("ts") < F.lit(_BASELINE_END).cast("timestamp_ntz"))
+    return monitor.suggest_metric_bounds(scored, _quality_columns(), ["mae", "rmse"], ["accuracy"])
+
+
+@query(_MB)
+def hourly_model_breaches(spark, folder):
+    found = monitor.model_quality(_scored_events(spark, folder), "ts", _quality_columns())
+    return rounded(monitor.metric_breaches(found, _metric_bounds(spark, folder)), "observed", "bound")
+
+
+@query(f"SELECT * FROM ({_MB}) {_CLOSED.format(1)}")
+def hourly_model_breaches_stream(spark, folder):
+    events = table(spark, folder, "events")
+    predictions = _event_predictions(_stream(spark, folder), events)
+    found = streams.model_breaches(predictions, _truth(events), "event_id", _quality_columns(), _metric_bounds(spark, folder))
+    return rounded(_zoneless(streams.run_available(found, "mb-stream")), "observed", "bound")
+
+
 @query(f"SELECT * FROM ({_OPS}) {_CLOSED.format(1)}")
 def ops_rollup_stream(spark, folder):
     rollup = streams.operations(_stream(spark, folder), F.col("event_type") == "error", "value")

@@ -14,17 +14,24 @@ from tasteloom.session import new_path
 LATENESS = "1 hour"
 
 
-def read_events(spark: SparkSession, folder: str, schema: StructType, ts: str = "ts",
-                pattern: str = "*.parquet", files_per_batch: int | None = None,
-                lateness: str = LATENESS) -> DataFrame:
-    """A stream of Parquet files with a watermark on `ts`.
+def read_events(spark: SparkSession, path: str, schema: StructType, ts: str = "ts",
+                files_per_batch: int | None = None, lateness: str = LATENESS) -> DataFrame:
+    """A stream of the Parquet files in the folder `path`, or of that one file, with a watermark on `ts`.
 
-    Watermarks need a timestamp with time zone, so a zone-less column is read as UTC.
+    Watermarks need a timestamp with time zone, so a zone-less column is read as UTC. A path without
+    any file is an error, not an empty stream.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    path = path.rstrip("/")
+    parent, _, name = path.rpartition("/")
+    present = spark.read.schema(schema).parquet(path).inputFiles()
+    if not present:
+        raise FileNotFoundError(f"no files in {path}")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    if len(present) == 1 and present[0].rpartition("/")[2] == name:  # streams open folders only
+        reader, path = reader.option("pathGlobFilter", name), parent
+    return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -34,13 +41,18 @@ def start(stream: DataFrame, path: str, checkpoint: str, every: str | None = Non
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def run_available(stream: DataFrame, tag: str, timeout: int = 600) -> DataFrame:
-    """Process everything that is available now and return the rows that were appended."""
+def run_available(stream: DataFrame, tag: str, timeout: int | None = None) -> DataFrame:
+    """Process everything that is available now and return the rows that were appended.
+
+    It takes as long as it takes, unless a `timeout` in seconds is given.
+    """
     spark = stream.sparkSession
     path = new_path(spark, tag)
     query = start(stream, path, new_path(spark, f"{tag}-state"))
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"{tag} did not finish in {timeout} s")
     finally:
         query.stop()
@@ -73,6 +85,12 @@ def model_quality_two_streams(predictions: DataFrame, truths: DataFrame, key: st
     return monitor.model_quality(predictions.join(right, in_time), ts, metrics, width)
 
 
+def model_breaches(predictions: DataFrame, truth: DataFrame, key: str, metrics: list[Column], bounds: DataFrame,
+                   ts: str = "ts", width: str = "1 hour") -> DataFrame:
+    """Metrics of closed windows that lie beyond their bounds."""
+    return monitor.metric_breaches(model_quality(predictions, truth, key, metrics, ts, width), bounds)
+
+
 def operations(events: DataFrame, is_error: Column, latency: str, ts: str = "ts",
                width: str = "1 hour") -> DataFrame:
     return monitor.operations(events, ts, is_error, latency, width)

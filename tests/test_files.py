@@ -1,11 +1,15 @@
+import subprocess
+import sys
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
 from tasteloom.functions.scalars import rolling_bounds
 from tasteloom.session import new_path, shared_dir, write_once
 from tasteloom.sources import files
+from tasteloom.sources.files import publish
 from tasteloom.sources.interactions import load_interactions, load_range
 
 
@@ -51,3 +55,30 @@ def test_written_tables_are_in_the_shared_folder(spark):
     assert kept.inputFiles()[0].split("://")[-1].lstrip("/").startswith(shared_dir(spark).lstrip("/")) or \
         shared_dir(spark) in kept.inputFiles()[0]
     assert values(kept) == values(kept)
+
+
+def test_publish_keeps_the_latest_readable(spark, tmp_path):
+    old, new = spark.range(3), spark.range(5)
+    publish(old, str(tmp_path / "run1"), str(tmp_path / "latest"), "parquet")
+    publish(new, str(tmp_path / "run2"), str(tmp_path / "latest"), "parquet")
+    assert values(spark.read.parquet(str(tmp_path / "latest"))) == values(new)
+    broken = spark.range(3).selectExpr("if(id = 2, raise_error('stop'), id) as id")
+    with pytest.raises(Exception, match="stop"):
+        publish(broken, str(tmp_path / "run3"), str(tmp_path / "latest"), "parquet")
+    assert values(spark.read.parquet(str(tmp_path / "latest"))) == values(new)
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("latest")) == ["latest"]
+
+
+def test_intermediate_tables_can_be_dropped(tmp_path):
+    """In a session of its own: the folder belongs to the application."""
+    code = f'''
+from tasteloom.session import build_session, drop_intermediate, write_once
+spark = build_session("t", "local[1]", **{{"spark.checkpoint.dir": "{tmp_path}", "spark.ui.enabled": "false"}})
+kept = write_once(spark.range(5), "t")
+assert kept.count() == 5
+drop_intermediate(spark)
+import os
+print("LEFT", [f for _, _, names in os.walk("{tmp_path}") for f in names])
+'''
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "LEFT []" in done.stdout, done.stderr[-2000:]

@@ -31,8 +31,8 @@ def test_profile(baseline):
 def test_constraints_and_breaches(spark, baseline):
     rules = monitor.suggest_constraints(baseline, ["value", "kind"], max_allowed=3)
     assert values(rules, "column", "kind") == [
-        ("kind", "allowed_values"), ("kind", "completeness"), ("value", "completeness"), ("value", "non_negative"),
-        ("value", "range"), ("value", "type")]
+        ("kind", "allowed_values"), ("kind", "completeness"), ("kind", "type"), ("value", "completeness"),
+        ("value", "non_negative"), ("value", "range"), ("value", "type")]
     events = spark.createDataFrame([
         (1, at(5), "a", 2.0), (2, at(6), "new", -1.0), (3, at(6, 1), None, 9.0), (4, at(7), "a", None)], SCHEMA)
     found = monitor.data_quality(events, rules, "ts")
@@ -45,9 +45,35 @@ def test_constraints_and_breaches(spark, baseline):
     assert hooked.count() == 1
 
 
-def test_many_values_give_no_list(spark):
-    df = spark.range(50).selectExpr("cast(id as string) s")
-    assert values(monitor.suggest_constraints(df, ["s"], max_allowed=10), "kind") == [("completeness",)]
+def test_many_values_give_a_note_instead_of_a_list(spark):
+    df = spark.range(50).selectExpr("cast(id as string) s", "timestamp_ntz '2024-01-01' as ts")
+    rules = monitor.suggest_constraints(df, ["s"], max_allowed=10)
+    assert values(rules, "kind", "lo") == [("completeness", 1.0), ("type", 1.0), ("values_not_listed", 50.0)]
+    assert monitor.data_quality(df, rules, "ts").count() == 0
+    listed = monitor.suggest_constraints(df, ["s"], max_allowed=50)
+    assert "allowed_values" in [r["kind"] for r in listed.collect()]
+
+
+def test_baselines_without_values(spark, baseline):
+    nothing = spark.createDataFrame([(1, at(0), None, None)], SCHEMA)
+    rules = monitor.suggest_constraints(nothing, ["value", "kind"])
+    assert values(rules, "column", "kind", "lo") == [("kind", "completeness", 0.0), ("value", "completeness", 0.0)]
+    none = monitor.suggest_constraints(nothing.limit(0), ["value", "kind"])
+    assert none.count() == 0
+    found = monitor.data_quality(baseline, none, "ts")
+    assert found.columns == ["window_start", "column", "kind", "observed", "bound"] and found.count() == 0
+
+
+def test_metric_bounds_and_breaches(spark):
+    rows = [(at(h), float(p), float(y)) for h, p, y in [(0, 1, 2), (0, 4, 2), (1, 5, 5), (1, 6, 5), (2, 9, 1), (3, 1, 1)]]
+    joined = spark.createDataFrame(rows, "ts timestamp_ntz, prediction double, label double")
+    metrics = evaluate.regression_metrics()
+    bounds = monitor.suggest_metric_bounds(joined.where("hour(ts) < 2"), metrics, ["mae"], ["r2"])
+    assert values(bounds, "metric", "bound", "is_floor")[0] == ("mae", 1.0, False)
+    found = monitor.metric_breaches(monitor.model_quality(joined, "ts", metrics), bounds)
+    assert (at(2), "mae", 8.0, 1.0) in values(found) and (at(0), "mae", 1.5, 1.0) in values(found)
+    assert not [r for r in found.collect() if r["window_start"] == at(3) and r["metric"] == "mae"]
+    assert monitor.metric_breaches(monitor.model_quality(joined, "ts", metrics), bounds.limit(0)).count() == 0
 
 
 def test_capture_sample(spark):
@@ -101,6 +127,26 @@ def test_stream_equals_batch_on_closed_windows(spark):
     assert values(found, *columns) == values(closed, *columns)
 
 
+def test_streams_of_a_file_and_of_a_folder(spark, tmp_path):
+    """The table as one file, as a folder of parts with the same name, and missing."""
+    rows = [(n, at(n // 4), "ok", float(n)) for n in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    frame.repartition(3).write.parquet(f"{tmp_path}/parts/events.parquet")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "single" / "events.parquet")
+    (tmp_path / "single" / "other.parquet").write_bytes(b"not this one")
+
+    def windows(path):
+        stream = streams.operations(streams.read_events(spark, path, frame.schema), F.col("kind") == "error", "value")
+        return values(streams.run_available(stream, "ops"), "invocations", "max_latency")
+    one = windows(f"{tmp_path}/single/events.parquet")
+    assert len(one) > 5 and windows(f"{tmp_path}/parts/events.parquet") == one
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        windows(f"{tmp_path}/empty")
+
+
 def test_two_streams_join_within_the_delay(spark):
     rows = [(n, at(n // 4, 10 * (n % 4)), "x", float(n)) for n in range(48)]
     folder = write_batches(spark, rows)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tasteloom.operators import normal, recommend, split
-from tasteloom.operators.skew import join_by_key
+from tasteloom.operators.skew import ROWS_PER_SPLIT, join_by_key
 from tasteloom.plans import tables
 from tasteloom.session import write_once
 
@@ -35,8 +35,8 @@ def test_user_counts_read_two_columns_of_the_fact_table(spark, small):
 
 
 def test_only_sized_tables_are_broadcast(spark, small):
-    """With automatic broadcasts off, the hot-key table is the only one left: it has at most
-    HOT_KEYS rows. The join itself is shuffled by key and salt."""
+    """With automatic broadcasts off, the hot-key table is the only one left: it has at most a
+    millionth of the rows. The join itself is shuffled by key and salt."""
     rows = tables.cleaned(spark, small)
     counts = split.user_counts(rows)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -45,7 +45,15 @@ def test_only_sized_tables_are_broadcast(spark, small):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin [user_id" in text and "_salt" in text
-    assert all("TakeOrderedAndProject" in part for part in text.split("BroadcastExchange")[1:])
+    assert all(f"> {ROWS_PER_SPLIT})" in part for part in text.split("BroadcastExchange")[1:])
+
+
+@pytest.mark.parametrize("name", ["leave_last_out", "date_cut", "train_rows_anti", "ordinal_encode", "decode_items",
+                                  "general_recommendation_union"])
+def test_the_fact_table_is_read_once(spark, small, name, monkeypatch):
+    """What a query returns reads the table, or the cleaned rows it was written to before, once."""
+    text = plan(driver.queries()[name](spark, small))
+    assert text.count("l_returnflag") == 0 and text.count("lineitem.parquet") <= 1
 
 
 @pytest.fixture

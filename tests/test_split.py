@@ -33,8 +33,11 @@ def test_leave_last_out_matches_brute_force(spark):
     rows = make(spark)
     want = expected([tuple(r) for r in rows.collect()])
     assert values(split.leave_last_out(rows, ORDER)) == want
-    # The path for large users gives the same rows, copies included.
-    assert values(split.leave_last_out(rows, ORDER, rows_per_split=25)) == want
+
+
+def test_rows_without_a_user_stay_in_train(spark):
+    rows = spark.createDataFrame([(None, "1", 1.0, 1), (None, "2", 1.0, 2), (1, "1", 1.0, 1), (1, "2", 1.0, 2)], SCHEMA)
+    assert values(split.leave_last_out(rows, ORDER).where("user_id is null"), "split") == [("train",)] * 2
 
 
 def test_one_row_users_stay_in_train(spark):
