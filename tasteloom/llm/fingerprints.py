@@ -123,4 +123,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     changed = changed.withColumn("edited_sketch", sketch(F.col("edited_text")))
     return changed.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "edited_text", "sketch",
                           "edited_sketch", containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-                          containment(F.col("sketch"), F.col("following.sketch")).alias("near_next"))
+                          F.when(F.col("following").isNotNull(), containment(
+                              F.col("sketch"), F.col("following.sketch"))).alias("near_next"))
