@@ -1,17 +1,19 @@
 """NumPy helpers that work on Arrow batches of texts inside a task.
 
-Texts are handled as one flat byte array with offsets. Long batches are cut into slices of about a
+Texts are handled as one flat byte array with offsets. Long batches are cut into slices of a quarter of a
 megabyte, so temporary arrays stay small whatever a batch or a document holds.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20  # units handled at a time
+SLICE = 1 << 18  # units handled at a time
 POSITION_BITS = np.uint64(22)  # a slice and the longest look-ahead fit in these
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -28,6 +30,14 @@ LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks, beside those of other
+    operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(base: np.uint64, count: int) -> np.ndarray:
     """base^0 .. base^(count-1) modulo 2^64; kept between calls."""
     have = _powers.get(int(base))

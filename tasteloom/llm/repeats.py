@@ -25,6 +25,7 @@ from tasteloom.session import write_once
 # Both numbers stay below 2^10, so they share one long with the start, which sorts first.
 FIELD = 10
 FIELD_MAX = (1 << FIELD) - 1
+ROWS = 256  # texts whose units are in memory at a time
 # Anchors with more surroundings than this are compared window by window instead of as a group.
 VARIANTS = 4096
 
@@ -47,9 +48,11 @@ def earlier_copies(keys: list[np.ndarray], doc_ids: np.ndarray, places: np.ndarr
     if len(order):
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
     group = np.cumsum(new) - 1
-    first = doc_ids[order][np.flatnonzero(new)][group] if len(order) else doc_ids
+    heads = order[np.flatnonzero(new)]
     spare = np.zeros(len(order), dtype=bool)
-    spare[order] = ~new if by_place else doc_ids[order] > first
+    spare[order] = doc_ids[order] > doc_ids[heads][group]
+    if by_place:
+        spare[order] |= places[order] > places[heads][group]
     return spare
 
 
@@ -62,8 +65,12 @@ def runs(docs: DataFrame, units: Callable, window: int, gram: int, by_place: boo
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            codes, first = units(*arrays.flat(batch.column("text")))
-            found = arrays.anchored_runs(codes, first, window, gram)
+            parts = []
+            for low in range(0, batch.num_rows, ROWS):
+                codes, first = units(*arrays.flat(batch.column("text").slice(low, ROWS)))
+                parts.append(arrays.anchored_runs(codes, first, window, gram))
+                parts[-1]["item"] += low
+            found = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {"n": ()}
             if not len(found["n"]):
                 continue
             doc_ids = ids[found["item"]]
@@ -74,6 +81,7 @@ def runs(docs: DataFrame, units: Callable, window: int, gram: int, by_place: boo
                               found["anchor"])
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(found["content"].view(np.int64)),
                                               pa.array(doc_ids), pa.array(places), pa.array(spare)], schema=RUN_SCHEMA)
+        arrays.give_back()
     return docs.mapInArrow(task, RUN_DDL)
 
 
@@ -85,7 +93,7 @@ def decided(found: DataFrame, by_place: bool) -> DataFrame:
     may occur earlier in another of these.
     """
     same = Window.partitionBy("anchor", "content").orderBy("doc_id", "place")
-    first = (F.row_number().over(same) == 1) if by_place else (F.col("doc_id") == F.first("doc_id").over(same))
+    first = (F.rank().over(same) == 1) if by_place else (F.col("doc_id") == F.first("doc_id").over(same))
     ranked = (found.repartition("anchor")
               .withColumn("_new", F.when(F.row_number().over(same) == 1, 1).otherwise(0))
               .withColumn("removed", F.col("spare") | ~first)

@@ -47,6 +47,7 @@ def _windows(width: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchors), pa.array(hashes.view(np.int64)), pa.array(ids[rows]), pa.array(places),
                  pa.array(spare)], schema=_WINDOW_SCHEMA)
+        arrays.give_back()
     return task
 
 
@@ -72,6 +73,7 @@ def _cut(width: int):
                 [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(runs, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "n_spans", "kept_text"])
+        arrays.give_back()
     return task
 
 
@@ -99,7 +101,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     number = docs.schema.names.index("n_chars") if "n_chars" in docs.columns else None
     # Positional names, so that no column of the input can clash with these.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    key = plain.columns[docs.schema.names.index("doc_id")]
+    names = plain.columns
+    key = names[docs.schema.names.index("doc_id")]
     joined = plain.join(spans.select(F.col("doc_id").alias("span_id"), "spans"), F.col(key).cast("long") == F.col("span_id"),
                         "left").drop("span_id")
 
@@ -116,7 +119,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 if number is not None:
                     columns[number] = pa.array([len(changed[row]) if row in changed else columns[number][row].as_py()
                                                 for row in range(batch.num_rows)], columns[number].type)
-            yield pa.RecordBatch.from_arrays(columns, names=plain.columns).filter(keep)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
     return joined.mapInArrow(task, plain.schema).toDF(*docs.columns)
 
 
@@ -129,8 +132,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     maximal removed intervals.
 
     Null or empty texts: no words, empty `kept_text`. Texts shorter than a window lose nothing. Rows
-    with a null doc_id have no place in the order and are kept whole. Rows that repeat a doc_id are
-    one document to each other: they lose only what a smaller id has. No input rows: no output rows.
+    with a null doc_id have no place in the order and are kept whole. Rows that repeat a doc_id lose
+    nothing to each other, and each the spans found in any of them. No input rows: no output rows.
     """
     texts = repeats.keyed(docs)
     spans = repeated_spans(texts, window, gram)
