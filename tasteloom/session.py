@@ -17,6 +17,9 @@ SETTINGS = {
     # Split a skewed join side even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A table that was bucketed by a key is read and joined in its buckets, and the other side follows.
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Streaming state on local disk rather than on the heap; checkpoints go to shared storage.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

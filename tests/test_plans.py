@@ -63,18 +63,37 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_kept_rows_are_not_shuffled_again_for_their_factors(spark, no_broadcast):
-    rows = spark.range(2000).selectExpr("id % 50 as user_idx", "id % 31 as item_idx", "1.0D as q")
-    by_user, by_item = (normal.field_of(rows, name, 30) for name in ("user_idx", "item_idx"))
-    kept = normal.arranged(normal.salted(rows, [by_user, by_item]), by_item, 3)
-    factors = by_item.sizes.select("idx", normal.starting_factors("idx", 3, 1.0, 1).alias("factor"))
-    joined = normal.attach_factors(kept, by_item, factors)
-    assert joined.count() == 2000
-    text = plan(joined)
-    join = text[text.index("SortMergeJoin [item_idx"):].splitlines()
-    rows_side = [line for line in join[1:4]]
-    assert any("InMemoryTableScan" in line for line in rows_side), text
-    kept.unpersist()
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_rating_rows_are_not_shuffled_in_a_sweep(spark, threshold):
+    """Above the bucketed rows there is no exchange, whether or not the factors are broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = spark.range(2000).selectExpr("id % 50 as user_idx", "id % 31 as item_idx", "1.0D as q")
+        by_user, by_item = (normal.field_of(rows, name, 30) for name in ("user_idx", "item_idx"))
+        side = normal.arranged(normal.salted(rows, [by_user, by_item]), by_user, by_item)
+        factors = by_item.sizes.select("idx", normal.starting_factors("idx", 3, 1.0, 1).alias("factor"))
+        joined = normal.attach_factors(side, factors)
+        assert joined.count() == 2000
+        one = F.lit(1.0)
+        found = normal.solve(joined, normal.Field("user_idx", by_user.sizes, False, 50), F.col("factor"), one, one, one, 3,
+                             normal.Ridge(1.0))
+        text = plan(found)
+        above = []  # the operators on the way up from the bucketed scan
+        lines = text[:text.index("== Initial Plan") if "== Initial Plan" in text else len(text)].splitlines()
+        at = next(k for k, line in enumerate(lines) if "Bucketed: true" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        level = depth(lines[at])
+        for line in reversed(lines[:at]):
+            if depth(line) < level:
+                above.append(line)
+                level = depth(line)
+        assert len(above) > 3 and not [line for line in above if "Exchange" in line], text
+        # A salted key's rows lie in one task each.
+        spread = joined.withColumn("task", F.spark_partition_id()).groupBy("user_idx", "user_idx_salt").agg(
+            F.count_distinct("task").alias("n"))
+        assert spread.agg(F.max("n")).first()[0] == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_skewed_dimension_join_is_split_at_run_time(spark, no_broadcast):
