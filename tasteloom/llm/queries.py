@@ -92,6 +92,78 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         .alias("kept_sha256"), "n_spans")
 
 
+# ---------------------------------------------------------------- the same in SQL
+
+SQL["op2_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[j:j + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reached.a, steps.b FROM reached JOIN steps ON reached.b = steps.a),
+roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM roots LEFT JOIN sizes USING (doc_id)
+"""
+
+# Every alignment, with a seed or without one.
+SQL["op4_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM b WHERE len(w) >= 5),
+same AS (
+  SELECT doc_id, item_id, i - j AS start, any_value(n) AS n, list(j) AS js, least(16, any_value(n)) AS size
+  FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, i - j HAVING count(*) >= ceil(0.8 * least(16, any_value(n)))),
+found AS (
+  SELECT * FROM same WHERE list_max(list_transform(range(0, n - size + 1),
+    lambda s: len(list_filter(js, lambda x: x >= s AND x < s + size)))) >= ceil(0.8 * size))
+SELECT doc_id, item_id, max(len(js)) AS matched, any_value(n) AS n_words, arg_max(start, (len(js), -start)) AS start
+FROM found GROUP BY doc_id, item_id
+"""
+
+SQL["op6_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, j, substr(h, 2 * j + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS j FROM d WHERE len(h) >= 200)),
+hits AS (SELECT doc_id, j FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, j) > 1),
+heads AS (
+  SELECT *, CASE WHEN j <= lag(j) OVER (PARTITION BY doc_id ORDER BY j) + 100 THEN 0 ELSE 1 END AS head FROM hits),
+runs AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY j) AS run FROM heads),
+gone AS (SELECT doc_id, run, min(j) AS a, max(j) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM gone),
+parts AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS tail,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+"""
+
+# The tables' pages mark their content with an article element.
+SQL["op8_html_extraction"] = r"""
+WITH bodies AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1),
+    '<(br|/?b)>', ' ', 'g'), '<[^>]*\z', '') AS body FROM pages),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda x: trim(regexp_replace(
+    regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM bodies)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, length(array_to_string(b, chr(10))) AS n_chars FROM blocks
+"""
+
 SQL["op10_substring_dedup"] = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
