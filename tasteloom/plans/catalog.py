@@ -418,8 +418,8 @@ def als_train_score(spark, folder):
 def als_split_train_score(spark, folder):
     """The solver for data with very large users or items."""
     rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
-    factors = als.train(split.part(rows, "train"), "split", max_iter=5)
-    return als.metrics_row(als.score(factors, split.part(rows, "test")), 10, max_iter=5)
+    factors = als.train(split.part(rows, "train"), "split")
+    return als.metrics_row(als.score(factors, split.part(rows, "test")), 10)
 
 
 _WATCH = """w AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value AS q FROM events),
@@ -490,8 +490,7 @@ def als_end_to_end(spark, folder):
 @query()
 def als_grid_search(spark, folder):
     rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
-    model, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"],
-                                    max_iter=[3, 5], reg_param=[0.1, 1.0], alpha=[1.0], parallelism=4)
+    model, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"], parallelism=4)
     held_out = als.score(als.of_model(model.bestModel), split.part(rows, "test")).first()["rmse"]
     return trials.withColumn("best_holdout_rmse", F.lit(held_out))
 
@@ -499,15 +498,17 @@ def als_grid_search(spark, folder):
 @query()
 def fm_train(spark, folder):
     rows = write_once(_split(spark, folder), "split")
-    model = fm.train_fm(split.part(rows, "train"), factors=8, sweeps=3, reg=20.0)
+    model = fm.train_fm(split.part(rows, "train"), factors=8, reg=20.0)
     return fm.score(model, split.part(rows, "test"))
 
 
 @query()
 def fm_train_gradient(spark, folder):
-    """The gradient solver keeps all parameters on the driver, so it gets the watch list: its
-    users and items are few at every scale of the tables."""
-    rows = write_once(split.leave_last_out(watchlist(spark, folder), ["ts", "event_id"]), "split")
+    """The gradient solver keeps all parameters on the driver, so it gets fields with few values by
+    their meaning: the type of an event and the hour of the day."""
+    events = table(spark, folder, "events").select(
+        "event_id", F.col("event_type").alias("user_id"), F.hour("ts").cast("string").alias("item_id"), F.col("value").alias("q"))
+    rows = write_once(split.hash_split(events, ["event_id"]).drop("event_id"), "split")
     model = fm.train_fm(split.part(rows, "train"), solver="gradient", factors=4, epochs=20)
     return fm.score(model, split.part(rows, "test"))
 
@@ -516,7 +517,7 @@ def fm_train_gradient(spark, folder):
 def fm_range_search(spark, folder):
     rows = write_once(split.leave_last_out(watchlist(spark, folder), ["ts", "event_id"]), "split")
     trials = flows.fm_search(split.part(rows, "train"), split.part(rows, "test"),
-                             {"sweeps": (1, 3), "reg": (1.0, 50.0)}, {"num_factors": "4"}, max_jobs=3)
+                             {"sweeps": (1, 3), "reg": (1.0, 50.0)}, {"num_factors": "4"})
     best = tune.best_trial(trials, "Minimize")
     return best.select("trial", F.col("settings")["sweeps"].alias("sweeps"), F.col("settings")["reg"].alias("reg"), "metric")
 
@@ -639,7 +640,7 @@ def knn_sampled_items(spark, folder):
 
 @query()
 def fm_knn_end_to_end(spark, folder):
-    found = flows.fm_recommend(cleaned(spark, folder), ORDER, factors=8, sweeps=2, reg=20.0)
+    found = flows.fm_recommend(cleaned(spark, folder), ORDER, factors=8, reg=20.0)
     path, common = new_path(spark, "fm-run"), new_path(spark, "fm-common")
     files.publish(found.rows, path, common)
     return files.read_csv(spark, common, found.rows.schema)

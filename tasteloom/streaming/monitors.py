@@ -66,14 +66,17 @@ def data_quality(events: DataFrame, constraints: DataFrame, ts: str = "ts", widt
 
 
 def model_quality(predictions: DataFrame, truth: DataFrame, key: str, metrics: list[Column],
-                  ts: str = "ts", width: str = "1 hour") -> DataFrame:
+                  ts: str = "ts", width: str = "1 hour",
+                  preprocess: Callable[[DataFrame], DataFrame] | None = None,
+                  postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Stream of predictions with a static table of truths."""
-    return monitor.model_quality(predictions.join(truth, key), ts, metrics, width)
+    return monitor.model_quality(predictions.join(truth, key), ts, metrics, width, preprocess, postprocess)
 
 
 def model_quality_two_streams(predictions: DataFrame, truths: DataFrame, key: str, truth_ts: str,
                               metrics: list[Column], ts: str = "ts", delay: str = "1 hour",
-                              width: str = "1 hour") -> DataFrame:
+                              width: str = "1 hour", preprocess: Callable[[DataFrame], DataFrame] | None = None,
+                              postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Predictions and truths both arrive as streams.
 
     A truth counts when it arrives within `delay` after its prediction; that bound and the two
@@ -82,7 +85,7 @@ def model_quality_two_streams(predictions: DataFrame, truths: DataFrame, key: st
     right = truths.withColumnRenamed(key, "_truth_key")
     in_time = ((F.col(key) == F.col("_truth_key")) & (F.col(truth_ts) >= F.col(ts))
                & (F.col(truth_ts) <= F.col(ts) + F.expr(f"interval {delay}")))
-    return monitor.model_quality(predictions.join(right, in_time), ts, metrics, width)
+    return monitor.model_quality(predictions.join(right, in_time), ts, metrics, width, preprocess, postprocess)
 
 
 def model_breaches(predictions: DataFrame, truth: DataFrame, key: str, metrics: list[Column], bounds: DataFrame,
