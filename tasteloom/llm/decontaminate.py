@@ -14,6 +14,7 @@ import functools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tasteloom.llm.fingerprints import let
+from tasteloom.llm.inputs import without_ids
 
 # 1: the word counts, 0: it is ignored. Two masks of seven words that mirror each other.
 MASKS = ("11101011001", "10011010111")
@@ -105,7 +106,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ag
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that overlap with a benchmark item; all columns stay as they are.
     Rows with a null doc_id cannot be named and are left alone."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct()
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    key = F.col(plain.columns[docs.columns.index("doc_id")]).cast("long")
-    return plain.join(gone, key == F.col("gone_id"), "left_anti").toDF(*docs.columns)
+    return without_ids(docs, contaminated(docs, benchmark).select("doc_id"))

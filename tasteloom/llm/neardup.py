@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasteloom.llm import arrays
 from tasteloom.llm.components import components
+from tasteloom.llm.inputs import sized, without_ids
 from tasteloom.llm.repeats import keyed
 from tasteloom.llm.sketches import fast_sketches
 from tasteloom.session import write_once
@@ -145,14 +146,17 @@ def _open_pairs(compared: DataFrame, found: DataFrame) -> DataFrame:
     placed = (compared.join(place, "rep", "left").join(at_hub, "hub", "left")
               .withColumns({"own": F.coalesce("own", "rep"), "hubs": F.coalesce("hubs", "hub")}))
     placed = write_once(placed.withColumn("open", ~F.col("linked") & (F.col("own") != F.col("hubs"))), "placed")
-    kept = ["hub", "rep", "own", "n", "delta", "open"]
-    left = placed.where("open").select("hub", F.explode("open_part").alias("e"), *[F.col(c).alias(f"{c}_a") for c in kept[1:]])
+    kept = ["rep", "own", "n", "delta"]
+    left = placed.where("open").select("hub", F.posexplode("open_part").alias("at_a", "e"), *[F.col(c).alias(f"{c}_a") for c in kept])
     some = placed.where("open").select("hub").distinct()
-    right = placed.join(some, "hub", "left_semi").select("hub", F.explode("any_part").alias("e"),
-                                                         *[F.col(c).alias(f"{c}_b") for c in kept[1:]])
+    right = placed.join(some, "hub", "left_semi").select("hub", F.posexplode("any_part").alias("at_b", "e"),
+                                                         *[F.col(c).alias(f"{c}_b") for c in kept])
+    # At the first element in common, no more can follow than the shorter rest; `_prefixes` says how
+    # many a link needs.
+    rest = F.least(F.col("delta_a") - F.col("at_a"), F.col("delta_b") - F.col("at_b"))
     possible = ((F.col("own_a") != F.col("own_b")) & (F.col("rep_a") != F.col("rep_b"))
                 & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-                & (7 * F.abs(F.col("delta_a") - F.col("delta_b")) <= F.col("n_a") + F.col("n_b")))
+                & (14 * rest + F.col("n_a") + F.col("n_b") >= 7 * (F.col("delta_a") + F.col("delta_b"))))
     return left.join(right, ["hub", "e"]).where(possible).select(
         F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
@@ -186,8 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weighed = shared.join(weights, "rep")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("hub"))
     shared = write_once(shared.join(hubs, "key").select("rep", (-F.col("hub.back")).alias("hub")).distinct(), "buckets")
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    needed = write_once(texts.join(wanted, "doc_id", "left_semi"), "candidates")
+    wanted = write_once(shared.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    needed = write_once(texts.join(sized(wanted), "doc_id", "left_semi"), "candidates")
     stars = shared.where("rep <> hub").select("hub", "rep").distinct()
     compared = write_once(_compared(stars, needed), "compared")
     links = compared.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -206,7 +210,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` without the documents `near_duplicates` does not keep; all columns stay as they are."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    key = F.col(plain.columns[docs.columns.index("doc_id")]).cast("long")
-    return plain.join(gone, key == F.col("gone_id"), "left_anti").toDF(*docs.columns)
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return without_ids(docs, gone)
