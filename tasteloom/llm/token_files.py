@@ -18,11 +18,13 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tasteloom.llm import arrays
 from tasteloom.llm.tokens import encoder
 from tasteloom.session import write_once
 
 LENGTH = 2048  # ids of a sequence
 SEQUENCES = 128  # of a record batch
+ROWS = 256  # texts encoded at a time
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _MANIFEST = pa.schema([("part", pa.int64()), ("ids_path", pa.string()), ("docs_path", pa.string()),
@@ -121,9 +123,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, length: int
         encode, kind = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         writer = index = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # A few texts at a time: their words are Python strings for a moment.
+        for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             if writer is None:
                 store, place = pyarrow.fs.FileSystem.from_uri(folder)
                 store.create_dir(place, recursive=True)
@@ -142,6 +143,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, length: int
             index.close()
             for sink in sinks:
                 sink.close()
+            arrays.give_back()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([f"{folder}/{name}.ids.arrow"]), pa.array([f"{folder}/{name}.docs.arrow"]),
                  pa.array([count]), pa.array([writer.total])], schema=_MANIFEST)
@@ -164,13 +166,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for number in range(index.num_record_batches):
                     part = index.get_batch(number)
                     starts, sizes = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
-                    for low in range(0, part.num_rows, 512):
-                        ids = [file.span(int(s), int(n)).astype("<u4").tobytes()
-                               for s, n in zip(starts[low:low + 512], sizes[low:low + 512])]
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id").slice(low, 512), pa.array(starts[low:low + 512] + row["start"]),
-                             pa.array(sizes[low:low + 512]), pa.array(ids, pa.binary())],
-                            names=["doc_id", "start", "n_tokens", "ids"])
+                    ids = [file.span(int(s), int(n)).astype("<u4").tobytes() for s, n in zip(starts, sizes)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array(starts + row["start"]), pa.array(sizes), pa.array(ids, pa.binary())],
+                        names=["doc_id", "start", "n_tokens", "ids"])
+        arrays.give_back()
     # A task per file; the manifest itself is tiny.
     files = max(1, manifest.count())
     return manifest.repartition(files, "part").mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")

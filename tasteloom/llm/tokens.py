@@ -5,30 +5,33 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from itertools import chain, filterfalse
 
 import numpy as np
 
 END_ID = 2
-CACHE_WORDS = 1_000_000  # about 200 MB in a Python worker
-LONGEST = 64  # characters of a chunk that is remembered
+CACHE_WORDS = 700_000  # about 150 MB in a Python worker
+LONGEST = 64  # characters of a word that is remembered
+BLOCK = 2048  # new words encoded at a time
 
-# The Unicode white space characters (fixed values).
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-# A word with the white space before it. Both tokenizers end a token wherever white space follows a
-# character that is none, so such chunks have the same ids alone as in their text.
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# White space besides the space and the line feed, with the control characters that str.split takes
+# for such (fixed values).
+_RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+_RUNS = ("  ", "\n\n", "\n ", " \n")
 
-
-# Kept in the Python worker, which Spark uses for many tasks: ids of chunks by tokenizer file.
+# Kept in the Python worker, which Spark uses for many tasks: ids of words by tokenizer file.
 _known: dict[str, dict[str, bytes]] = {}
 
 
 def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     """(encode, kind): `encode` gives the ids of each text, `END_ID` after them, as bytes of `kind`.
 
-    Ids come from the tokenizers library without special tokens. The ids of the first CACHE_WORDS
-    different chunks a worker meets, which include all common ones, are remembered; others are encoded
-    whenever they come.
+    Ids come from the tokenizers library without special tokens. Both kinds of tokenizers here end a
+    token where a word ends and white space follows, so where words are divided by a single space or
+    line feed, a text's ids are those of its words, each with the character before it if the tokenizer
+    looks at that. Other texts are encoded as a whole. The ids of the first CACHE_WORDS different words
+    a worker meets, which include all common ones, are remembered; others are encoded whenever they
+    come.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer  # in the task: the library's objects stay in its process
@@ -36,20 +39,49 @@ def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     kind = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-    end = np.array([END_ID], dtype=kind).tobytes()
     known = _known.setdefault(path, {})
 
+    def ids(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=kind).tobytes()
+                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    end = np.array([END_ID], dtype=kind).tobytes()
+    spaced = ids(["a a"]) != ids(["a\na"])  # white space is part of tokens
+    # A character that is always a token of its own divides many words encoded together.
+    mark, divider = ("\n", "\n") if spaced else ("7", " 7 ")
+    divider_id = int(np.frombuffer(ids([mark])[0], kind)[0])
+
+    def words(text: str) -> list[str]:
+        """The words; with `spaced`, a line feed stays before its word and a space before it is implied."""
+        return text.replace("\n", " \n").split(" ") if spaced else text.split()
+
+    def learn(new: list[str]) -> None:
+        chunks = [w if w[:1] == "\n" else " " + w for w in new] if spaced else new
+        alone = [k for k, c in enumerate(chunks) if mark in c]
+        known.update(zip([new[k] for k in alone], ids([chunks[k] for k in alone])))
+        many = [k for k, c in enumerate(chunks) if mark not in c]
+        for low in range(0, len(many), BLOCK):
+            part = many[low:low + BLOCK]
+            flat = np.frombuffer(ids([divider.join([chunks[k] for k in part])])[0], kind)
+            raw, size = flat.tobytes(), kind.itemsize
+            cuts = [0, *((np.flatnonzero(flat == divider_id) + 1) * size).tolist(), len(raw) + size]
+            known.update(zip([new[k] for k in part], [raw[a:b - size] for a, b in zip(cuts, cuts[1:])], strict=True))
+
     def encode(texts: list) -> list[bytes]:
-        chunks = [_CHUNK.findall(text) if text else [] for text in texts]
-        new = list(set().union(*chunks).difference(known))
-        for low in range(0, len(new), 4096):
-            part = new[low:low + 4096]
-            for chunk, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, dtype=kind).tobytes()
-        ids = [b"".join(map(known.__getitem__, c)) + end for c in chunks]
+        texts = [text or "" for text in texts]
+        plain = [_RARE.search(t) is None and not (spaced and any(run in t for run in _RUNS)) for t in texts]
+        split = [words(t) if p else [] for t, p in zip(texts, plain)]
+        # With `spaced`, a text's first word has no white space before it: it is not looked up.
+        heads = iter(ids([s[0] for s in split if s])) if spaced else None
+        for s in split if spaced else ():
+            del s[:1]
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(split))))
+        learn(new)
+        odd = iter(ids([t for t, p in zip(texts, plain) if not p]))
+        found = [((next(heads) if spaced else b"") + b"".join(map(known.__getitem__, s)) if p else next(odd)) + end
+                 for s, p in zip(split, plain)]
         over = max(0, len(known) - CACHE_WORDS)
-        for at, chunk in enumerate(new):
-            if at < over or len(chunk) > LONGEST:
-                del known[chunk]
-        return ids
+        for at, word in enumerate(new):
+            if at < over or len(word) > LONGEST:
+                del known[word]
+        return found
     return encode, kind
