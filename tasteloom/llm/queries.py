@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tasteloom.llm import decontaminate, fingerprints, neardup, packing, quality, shards, suffix_dedup, token_files, window_dedup, wrappers
@@ -36,20 +32,12 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
-def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [zlib.crc32(i.as_buffer()) for i in batch.column("ids")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())],
-                                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 @query
 def op3_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"),
                                              new_path(spark, "token-files"))
-    return token_files.read_token_files(manifest).mapInArrow(
-        _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_files.read_token_files(manifest, checksums=True)
 
 
 @query

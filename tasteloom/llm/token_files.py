@@ -10,6 +10,7 @@ second Arrow file beside it lists the documents (doc_id, start in the file, n_to
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,8 +156,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, length: int
     return written.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; `start` counts all ids before."""
+def read_token_files(manifest: DataFrame, checksums: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files; `start` counts all ids before.
+    With `checksums`, `ids_crc32` of the ids as 32-bit integers comes in place of the ids themselves."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -166,11 +168,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for number in range(index.num_record_batches):
                     part = index.get_batch(number)
                     starts, sizes = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
-                    ids = [file.span(int(s), int(n)).astype("<u4").tobytes() for s, n in zip(starts, sizes)]
+                    ids = (file.span(int(s), int(n)).astype("<u4") for s, n in zip(starts, sizes))
+                    last = (pa.array([zlib.crc32(i) for i in ids], pa.int64()) if checksums
+                            else pa.array([i.tobytes() for i in ids], pa.binary()))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array(starts + row["start"]), pa.array(sizes), pa.array(ids, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"])
+                        [part.column("doc_id"), pa.array(starts + row["start"]), pa.array(sizes), last], names=names)
         arrays.give_back()
+    names = ["doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"]
     # A task per file; the manifest itself is tiny.
     files = max(1, manifest.count())
-    return manifest.repartition(files, "part").mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.repartition(files, "part").mapInArrow(
+        task, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if checksums else 'ids binary'}")
