@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -19,9 +20,15 @@ def documents(folder):
     return duckdb.connect().execute(f"select doc_id, text from '{folder}/documents.parquet' order by 1").fetchall()
 
 
-def direct(name, texts):
+@functools.cache
+def loaded(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
     tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def direct(name, texts):
+    tokenizer = loaded(name)
     return [e.ids + [2] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
