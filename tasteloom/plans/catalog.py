@@ -490,8 +490,7 @@ def als_end_to_end(spark, folder):
 @query()
 def als_grid_search(spark, folder):
     rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
-    model, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"],
-                                    max_iter=[3, 5], reg_param=[0.1, 1.0], alpha=[1.0], parallelism=4)
+    model, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"], parallelism=4)
     held_out = als.score(als.of_model(model.bestModel), split.part(rows, "test")).first()["rmse"]
     return trials.withColumn("best_holdout_rmse", F.lit(held_out))
 
@@ -655,12 +654,11 @@ def _forest_rows(spark, folder):
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey"]
-_DEPTH = 8  # of the registered forests; the library's default has no bound but Spark's
 
 
 @query()
 def forest_regression(spark, folder):
-    return flows.forest_regression(_forest_rows(spark, folder), _FEATURES, "l_extendedprice", _LINE, trees=20, depth=_DEPTH).metrics
+    return flows.forest_regression(_forest_rows(spark, folder), _FEATURES, "l_extendedprice", _LINE).metrics
 
 
 def _search(spark, folder):
@@ -668,7 +666,7 @@ def _search(spark, folder):
     train, test = split.part(rows, "train"), split.part(rows, "test")
 
     ranges = {"n_estimators": (20, 100), "min_samples_leaf": (2, 6)}
-    return flows.forest_search(train, test, _FEATURES, ranges, max_jobs=6, max_parallel_jobs=3, depth=_DEPTH)
+    return flows.forest_search(train, test, _FEATURES, ranges, max_jobs=6, max_parallel_jobs=3)
 
 
 @query()
