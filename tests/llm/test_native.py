@@ -212,6 +212,25 @@ def test_decontamination_finds_substituted_passages(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [2, 5, 7, 8, 9]
 
 
+def test_every_pattern_of_replaced_words_is_found(spark):
+    """Items of 5 to 20 words, in all ways to replace a fifth of the words of an overlap; also at the ends of a document."""
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in [*range(5, 17), 20]]
+    docs, want = [], set()
+    for n, text in items:
+        size = min(n, 16)
+        for gone in itertools.combinations(range(size), size - math.ceil(0.8 * size)):
+            words = ["new" if k in gone else w for k, w in enumerate(text.split()) if k < size]
+            want.add((len(docs), n))
+            docs.append((len(docs), " ".join(words if len(docs) % 2 else ["some", *words, "more"])))
+    for n, text in items:  # cut off instead of replaced
+        for cut in (text.split()[:math.ceil(0.8 * min(n, 16))], text.split()[-math.ceil(0.8 * min(n, 16)):]):
+            want.add((len(docs), n))
+            docs.append((len(docs), " ".join(cut)))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+
+
 def test_decontamination_of_empty_tables(spark, hard, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(hard, none).count() == 0
