@@ -515,9 +515,9 @@ def fm_train_gradient(spark, folder):
 
 @query()
 def fm_range_search(spark, folder):
-    rows = write_once(split.leave_last_out(watchlist(spark, folder), ["ts", "event_id"]), "split")
+    rows = write_once(_split(spark, folder), "split")
     trials = flows.fm_search(split.part(rows, "train"), split.part(rows, "test"),
-                             {"sweeps": (1, 3), "reg": (1.0, 50.0)}, {"num_factors": "4"})
+                             {"sweeps": (3, 9), "reg": (1.0, 50.0)}, {"num_factors": "8"})
     best = tune.best_trial(trials, "Minimize")
     return best.select("trial", F.col("settings")["sweeps"].alias("sweeps"), F.col("settings")["reg"].alias("reg"), "metric")
 
