@@ -3,7 +3,7 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from tasteloom.session import build_session  # noqa: E402
 
@@ -21,9 +21,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small():
     return "/root/testdata/sf0.001"
-
-
-def values(df, *columns):
-    """Sorted tuples of the given columns (all when none are given)."""
-    rows = df.select(*columns).collect() if columns else df.collect()
-    return sorted((tuple(r) for r in rows), key=lambda r: [(x is not None, str(type(x)), x) for x in r])

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from conftest import values
+from helpers import values
 from tasteloom.operators import clean
 
 ROWS = "user_id string, q string, item_id string, grp string, ticker string"

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from conftest import values
+from helpers import values
 from tasteloom.operators import encode, order
 from tasteloom.sources import files
 from tasteloom.session import new_path

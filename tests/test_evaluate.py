@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from conftest import values
+from helpers import values
 from tasteloom.functions import scalars
 from tasteloom.operators import evaluate
 from pyspark.sql import functions as F

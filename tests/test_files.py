@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from tasteloom.functions.scalars import rolling_bounds
 from tasteloom.session import new_path, shared_dir, write_once
 from tasteloom.sources import files

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from tasteloom.operators import evaluate, monitor
 from tasteloom.session import new_path
 from tasteloom.streaming import monitors as streams

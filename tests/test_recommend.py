@@ -1,4 +1,4 @@
-from conftest import values
+from helpers import values
 from tasteloom.operators import encode, recommend
 
 QUOTAS = {"A": 2, "B": 1}

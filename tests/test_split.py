@@ -1,6 +1,6 @@
 import random
 
-from conftest import values
+from helpers import values
 from tasteloom.operators import split
 from tasteloom.operators.skew import join_by_key
 
