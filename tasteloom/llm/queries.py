@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tasteloom.llm import decontaminate, fingerprints, neardup, packing, quality, shards, suffix_dedup, token_files, window_dedup, wrappers
+from tasteloom.llm import (decontaminate, fingerprints, neardup, packing, periodic, quality, shards, suffix_dedup, token_files, toxicity,
+                           variants, window_dedup, wrappers)
 from tasteloom.llm.inputs import table
 from tasteloom.session import new_path
 
@@ -80,6 +81,24 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         .alias("kept_sha256"), "n_spans")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, folder, "documents"), widen=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                        F.sha2(F.col("runs").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 SQL["op2_minhash_near_dedup"] = r"""
@@ -171,3 +190,76 @@ SELECT doc_id, len(w) AS n_words, len(g) AS n_removed,
        len(list_filter(o, lambda x, i: i = 1 OR o[i - 1] <> x - 1)) AS n_spans
 FROM parts
 """
+
+# crc32 from its rule: the table of all bytes, then a step for each byte of a text.
+_CRC = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i)))"""
+_CRC_OF_X = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, strlen(x)), lambda k: ('0x' || substr(hex(encode(x)), 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+SQL["op11_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (SELECT run, n, {_CRC_OF_X} AS h FROM (SELECT run, n, doc_id || ':' || run AS x FROM kinds), crc_table),
+results AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM results GROUP BY word HAVING sum(n) >= 3 AND length(word) >= 5),
+cuts AS (
+  SELECT word, left(word, i) || '*' || substr(word, i + 2) AS gap, left(word, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y USING (gap) WHERE x.word <> y.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.less = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.less = w.word),
+near AS (
+  SELECT a, count(*) AS n_near, max(n) AS most, arg_min(b, (-n, b)) AS best FROM pairs JOIN words ON b = word GROUP BY a),
+found AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN best END AS form,
+    CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN near ON a = word),
+ways AS (
+  SELECT word, word AS root, form FROM found
+  UNION ALL SELECT ways.word, found.word, found.form FROM ways JOIN found ON found.word = ways.form)
+SELECT word, found.form, root, n, n_near, form_n FROM found JOIN ways USING (word) WHERE ways.form IS NULL
+"""
+
+SQL["op12_periodic_runs"] = rf"""
+WITH {_CRC},
+codes AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC_OF_X} AS h
+  FROM (SELECT doc_id, text, doc_id::VARCHAR AS x FROM documents), crc_table),
+places AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM codes),
+tails AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM places),
+texts AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM tails),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM texts),
+equal AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+stretches AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM islands GROUP BY doc_id, q, island
+  HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+gone AS (
+  SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs)
+  GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT doc_id, start, length, period FROM runs x WHERE NOT EXISTS (
+    SELECT 1 FROM runs y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period
+      OR (y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period)))))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w
+    ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' '), '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

@@ -1,0 +1,113 @@
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+from fixtures import WORD, frame, hard_rows
+
+import __spark_entry__ as driver
+from tasteloom.llm import periodic
+from tasteloom.llm.queries import SQL
+
+
+def brute(words):
+    """All runs, by looking at every place for every period."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def expected(doc_id, text, widen=True):
+    words = WORD.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if widen and doc_id is not None and h % 10 == 0 and n:
+        a = (h // 10) % n
+        p = 1 + (n - a) // (3 + (h // 10) % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = brute(words)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (doc_id, len(runs), *best, best[0] if best[0] is None else 1000 * best[1] // best[2], lines, kept)
+
+
+def key(row):
+    return [(x is not None, x) for x in row]
+
+
+@pytest.mark.parametrize("widen", [True, False])
+def test_hard_rows(spark, hard, widen):
+    repeated = [(40 + k, " ".join(["a b c"] * n + ["tail"] * k)) for k, n in enumerate((1, 2, 4, 50, 700))]
+    rows = hard_rows() + repeated
+    got = [tuple(r) for r in periodic.periodic_runs(frame(spark, rows), widen).collect()]
+    assert sorted(got, key=key) == sorted((expected(i, t, widen) for i, t in rows), key=key)
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in driver.queries()["op12_periodic_runs"](spark, folder).collect()}
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    assert got == set(db.execute(SQL["op12_periodic_runs"]).fetchall())
+    table = db.execute("select doc_id, text from documents").fetchall()
+    want = [expected(i, t) for i, t in table if len(t or "") < 4000]
+    hashed = {(*r[:6], *[hashlib.sha256(x.encode()).hexdigest() for x in r[6:]]) for r in want}
+    assert hashed <= got and any(r[1] for r in want)
+
+
+def test_random_words(monkeypatch):
+    monkeypatch.setattr(periodic, "GRID", 40)  # the grids come in many parts
+    r = random.Random(2)
+    for _ in range(300):
+        docs = []
+        for _ in range(r.randint(1, 5)):
+            words = [r.randrange(r.choice([1, 2, 3, 8])) for _ in range(r.randint(0, r.choice([5, 30, 150])))]
+            if words and r.random() < 0.6:
+                at = r.randrange(len(words))
+                p = 1 + (len(words) - at) // r.randint(3, 9)
+                words = words[:at] + [words[at + (i - at) % p] for i in range(at, len(words))]
+            docs.append(words)
+        found = [[] for _ in docs]
+        first = np.cumsum([0] + [len(d) for d in docs])
+        for doc, *run in zip(*periodic.runs(np.array(sum(docs, []), dtype=np.int64), first)):
+            found[doc].append(tuple(map(int, run)))
+        assert found == [brute(d) for d in docs]
+
+
+def test_common_extensions():
+    r = random.Random(4)
+    for size in (1, 2, 20, 21, 22, 300):
+        text = [r.randrange(2) for _ in range(size)]
+        ext = periodic.CommonExtensions(np.array([*text, 9], dtype=np.int64))
+        pairs = [(i, j) for i in range(size) for j in range(size) if i != j]
+        if pairs:
+            got = ext.lengths(*np.array(pairs).T)
+            assert got.tolist() == [next(k for k in range(size + 1) if max(i, j) + k == size or text[i + k] != text[j + k])
+                                    for i, j in pairs]
+
+
+def test_the_cover_has_every_difference():
+    assert {(a - b) % periodic.COVER for a in periodic.COVERED for b in periodic.COVERED} == set(range(periodic.COVER))
+
+
+def test_very_long_text_of_one_word(spark):
+    row, = periodic.periodic_runs(spark.createDataFrame([(1, "w " * 60_000)], "doc_id long, text string")).collect()
+    assert (row.n_runs, row.start, row.length, row.period, row.exponent_milli, row.kept_text) == (1, 0, 60_000, 1, 60_000_000, "w")
+
+
+def test_empty_table(empty):
+    assert periodic.periodic_runs(empty, widen=True).count() == 0
+    assert re.fullmatch("doc_id.*kept_text", ",".join(periodic.periodic_runs(empty).columns))
