@@ -76,47 +76,51 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer((first.start, second.start), step)
 
 
+# Between the machines a word is a symbol; a pair is a reading of a word, written beside it, and takes no place.
+
 def negations() -> Transducer:
-    """Marks harmful symbols in the scope of a negation."""
+    """Reads harmful symbols in the scope of a negation as negated."""
     def step(left, symbol):
         if symbol == END:
             return 0, (END,)
         if symbol == NEGATION:
             return SCOPE, (NEGATION,)
-        marked = ("negated", symbol) if left and symbol in HARMFUL else symbol
-        return max(0, left - 1), (marked,)
+        return max(0, left - 1), ((("negated", symbol), OTHER) if left and symbol in HARMFUL else (symbol,))
     return Transducer(0, step)
 
 
 def reports() -> Transducer:
-    """Marks harmful symbols after a word of reported speech in the same clause."""
+    """Reads harmful symbols after a word of reported speech in the same clause as reported."""
     def step(inside, symbol):
         if symbol == END:
             return False, (END,)
-        return inside or symbol == REPORT, (("reported", symbol) if inside and symbol in HARMFUL else symbol,)
+        return inside or symbol == REPORT, ((("reported", symbol), OTHER) if inside and symbol in HARMFUL else (symbol,))
     return Transducer(False, step)
 
 
 def targets(kinds: tuple) -> Transducer:
-    """Marks symbols of `kinds` that have a target at most SCOPE words before or after them as aimed.
+    """Reads symbols of `kinds` that have a target at most SCOPE words before or after them as aimed, others
+    as plain.
 
-    A symbol without a target before it waits, and is written when a target comes, the scope is left, the
-    clause ends, or another one takes its place.
+    A symbol without a target before it waits until a target comes, the scope is left, the clause ends, or
+    another one takes its place.
     """
     def step(state, symbol):
         near, waiting, left = state
+        plain = (("plain", waiting),) if waiting is not None else ()
         if symbol == END:
-            return (0, None, 0), (*([waiting] if waiting is not None else []), END)
+            return (0, None, 0), (*plain, END)
+        if isinstance(symbol, tuple):
+            return state, (symbol,)
         if symbol == TARGET:
-            return (SCOPE + 1, None, 0), (*([("aimed", waiting)] if waiting is not None else []), TARGET)
+            return (SCOPE + 1, None, 0), ((("aimed", waiting),) if waiting is not None else ()) + (TARGET,)
         near = max(0, near - 1)
         if symbol in kinds:
-            before = [waiting] if waiting is not None else []
             if near:
-                return (near, None, 0), (*before, ("aimed", symbol))
-            return (0, symbol, SCOPE), tuple(before)
+                return (near, None, 0), (*plain, ("aimed", symbol), OTHER)
+            return (0, symbol, SCOPE), (*plain, OTHER)
         if waiting is not None and left <= 1:
-            return (near, None, 0), (waiting, symbol)
+            return (near, None, 0), (*plain, symbol)
         return (near, waiting, max(0, left - 1)), (symbol,)
     return Transducer((0, None, 0), step)
 
@@ -124,11 +128,7 @@ def targets(kinds: tuple) -> Transducer:
 def readings() -> Transducer:
     """Writes the numbers of readings and nothing else."""
     number = {reading: k for k, reading in enumerate(READINGS)}
-
-    def step(state, symbol):
-        key = symbol if isinstance(symbol, tuple) else ("plain", symbol)
-        return state, ((number[key],) if key in number else ())
-    return Transducer(None, step)
+    return Transducer(None, lambda state, symbol: (state, (number[symbol],) if symbol in number else ()))
 
 
 def compiled(machine: Transducer) -> list[list[tuple[int, tuple]]]:
