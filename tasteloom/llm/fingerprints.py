@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WORDS = 5  # of a shingle
-FRACTION = 1 / 8  # of all shingle hashes that are kept
+FRACTION = 1 / 2  # of all shingle hashes that are kept
 ROWS_PER_BUCKET = 2_000  # whole texts, so these are tens of megabytes
 MAX_BUCKETS = 100_000
 COARSE = 128
@@ -24,14 +24,17 @@ def let(value: Column, body) -> Column:
 def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
     """Sorted distinct shingle hashes of the text below `fraction` of the hash range.
 
-    Words are `[^\\x20\\x09-\\x0D]+`; a text with fewer than `words` words is one shingle, one without
-    words has none. 64-bit hashes are signed, so the range starts at -2^63.
+    Words are `[^\\x20\\x09-\\x0D]+`. A shingle is `words` places in a row of which one at least is a word:
+    blanks before the first and after the last word count as places, so even one word has as many shingles
+    as a shingle has places. A text without words has none. 64-bit hashes are signed, so the range starts
+    at -2^63.
     """
     limit = int(-(1 << 63) + fraction * (1 << 64)) if fraction < 1 else (1 << 63) - 1
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    codes = F.transform(parts, lambda w: F.xxhash64(w))
-    hashes = let(codes, lambda c: F.when(F.size(c) > 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(c) - words, F.lit(0))),
+    blanks = F.array_repeat(F.lit(0).cast("long"), words - 1)
+    codes = F.concat(blanks, F.transform(parts, lambda w: F.xxhash64(w)), blanks)
+    hashes = let(codes, lambda c: F.when(F.size(c) > 2 * (words - 1), F.transform(
+        F.sequence(F.lit(0), F.size(c) - words),
         lambda i: F.xxhash64(*[F.get(c, i + k) for k in range(words)]))).otherwise(
             F.array().cast("array<bigint>")))
     return F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit))))
@@ -43,11 +46,14 @@ def as_text(hashes: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that the other one has; equal sketches are alike (1), an empty and
-    another one are not (0)."""
+    """Share of the smaller sketch that the other one has; 0 if one is empty, which says nothing."""
     least = F.least(F.size(a), F.size(b))
-    return (F.when(a == b, F.lit(1.0)).when(least == 0, F.lit(0.0))
-            .otherwise(F.size(F.array_intersect(a, b)) / least))
+    return F.when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
+
+
+def likeness(text: Column, own: Column, other_text: Column, other: Column) -> Column:
+    """`containment` of the sketches of two texts, and 1 for equal texts also where they are empty."""
+    return F.when(text == other_text, F.lit(1.0)).otherwise(containment(own, other))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -106,22 +112,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of `docs` (doc_id, text).
 
     The edited text is `edited(text, text of the next larger doc_id)`, after the last the first; alone,
-    a document is its own next. `near_*` is the `containment` of the row's sketch and the other one.
+    a document is its own next. `near_*` is the `likeness` of the row and the other text.
 
-    Null or empty texts count as empty: no words, an empty sketch, which equals other empty ones (1) and
-    is like nothing else (0). Short texts may have an empty sketch too, as few hashes are tried. Rows
-    that repeat a doc_id follow each other in the order of their texts. Rows with a null doc_id have no
-    next document: nothing replaces their second half, and `near_next` is null. No rows in, no rows out.
-    Columns besides doc_id and text are not looked at.
+    Null or empty texts count as empty: no words, an empty sketch, like other empty texts (1) and nothing
+    else (0). A text of very few words can have an empty sketch too: each of its shingles, WORDS at least, is
+    kept with probability FRACTION. Rows that repeat a doc_id follow each other in the order of their texts.
+    Rows with a null doc_id have no next document: nothing replaces their second half, and `near_next` is
+    null. No rows in, no rows out. Columns besides doc_id and text are not looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("sketch", sketch(F.col("text")))
     named = with_next(rows.where("doc_id is not null"))
     nameless = rows.where("doc_id is null")
     both = named.unionByName(nameless.withColumn("following", F.lit(None).cast(named.schema["following"].dataType)))
+    # Sketches are made after the shuffle, which moves texts only.
     changed = both.withColumn("edited_text", edited(F.col("text"), F.coalesce("following.text", F.lit(""))))
-    changed = changed.withColumn("edited_sketch", sketch(F.col("edited_text")))
-    return changed.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "edited_text", "sketch",
-                          "edited_sketch", containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-                          F.when(F.col("following").isNotNull(), containment(
-                              F.col("sketch"), F.col("following.sketch"))).alias("near_next"))
+    changed = (changed.withColumn("sketch", sketch(F.col("text"))).withColumn("edited_sketch", sketch(F.col("edited_text")))
+               .withColumn("next_sketch", sketch(F.col("following.text"))))
+    text, own = F.col("text"), F.col("sketch")
+    return changed.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "text", "edited_text", "sketch", "edited_sketch",
+        likeness(text, own, F.col("edited_text"), F.col("edited_sketch")).alias("near_edited"),
+        F.when(F.col("following").isNotNull(), likeness(text, own, F.col("following.text"), F.col("next_sketch"))).alias("near_next"))
