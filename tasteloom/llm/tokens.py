@@ -25,10 +25,11 @@ _known: dict[str, dict[str, bytes]] = {}
 def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     """(encode, kind): `encode` gives the ids of each text, `END_ID` after them, as bytes of `kind`.
 
-    Ids come from the tokenizers library without special tokens. Both kinds of tokenizers here end a
+    Ids are those of a plain call of the tokenizers library with add_special_tokens=False. Both kinds of tokenizers here end a
     token where a word ends and white space follows, so where words are divided by a single space or
     line feed, a text's ids are those of its words, each with the character before it if the tokenizer
-    looks at that. Other texts are encoded as a whole. The ids of the first CACHE_WORDS different words
+    looks at that. Other texts, and texts
+    that may hold the literal of an added token, are encoded as a whole. The ids of the first CACHE_WORDS different words
     a worker meets, which include all common ones, are remembered; others are encoded whenever they
     come.
     """
@@ -36,9 +37,11 @@ def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     from tokenizers import Tokenizer  # in the task: the library's objects stay in its process
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     kind = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
     known = _known.setdefault(path, {})
+    # Literals of added tokens are one token wherever they stand: texts that may hold one are not split.
+    literal = os.path.commonprefix([t.content for t in tokenizer.get_added_tokens_decoder().values()])
+    added = bool(tokenizer.get_added_tokens_decoder())
 
     def ids(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=kind).tobytes()
@@ -68,7 +71,8 @@ def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     def encode(texts: list) -> list[bytes]:
         texts = [text or "" for text in texts]
         # Looking for single characters is much faster than a pattern with all of them.
-        plain = [not any(map(t.__contains__, _RARE)) and not (spaced and any(map(t.__contains__, _RUNS))) for t in texts]
+        plain = [not any(map(t.__contains__, _RARE)) and not (spaced and any(map(t.__contains__, _RUNS)))
+                 and not (added and literal in t) for t in texts]
         split = [words(t) if p else [] for t, p in zip(texts, plain)]
         # With `spaced`, a text's first word has no white space before it: it is not looked up.
         heads = iter(ids([s[0] for s in split if s])) if spaced else None

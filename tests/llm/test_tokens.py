@@ -22,9 +22,7 @@ def documents(folder):
 
 @functools.cache
 def loaded(name):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def direct(name, texts):
@@ -39,7 +37,7 @@ def crc(ids):
 @pytest.mark.parametrize("name", FILES)
 def test_words_have_the_ids_of_whole_texts(name, monkeypatch):
     r = random.Random(3)
-    texts = [t for _, t in hard_rows()] + ["<|endoftext|> a <|startoftext|>", "don't  I'LL\n'll 1234 77 a7b 7", "x" * 100 + " y"]
+    texts = [t for _, t in hard_rows()] + ["<|endoftext|> a <|startoftext|>", "first part <|endoftext|> second", "a<|endoftext|>b c", "x <|ENDOFTEXT|> <| y", "don't  I'LL\n'll 1234 77 a7b 7", "x" * 100 + " y"]
     for letters in ("ab 'st\n\tÉ 1!\x1c\x85　\xa0", "aB'st É1!7<|", "ab'é 17.\n", " \n a"):
         texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 20))) for _ in range(1500)]
     encode, kind = tokens.encoder(public_tokenizers.path(name))
