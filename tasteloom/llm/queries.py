@@ -168,7 +168,7 @@ WITH bodies AS (
 blocks AS (
   SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda x: trim(regexp_replace(
     regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM bodies)
-SELECT page_id, url, array_to_string(b, chr(10)) AS text, length(array_to_string(b, chr(10))) AS n_chars FROM blocks
+SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text, length(array_to_string(b, chr(10) || chr(10))) AS n_chars FROM blocks
 """
 
 SQL["op10_substring_dedup"] = r"""
