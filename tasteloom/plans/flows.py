@@ -124,9 +124,10 @@ def forest_search(train: DataFrame, test: DataFrame, features: Sequence[str], ra
                   share: float = 0.5, max_jobs: int = 6, max_parallel_jobs: int = 3, seed: int = 17, **fixed) -> DataFrame:
     """Trials of a random forest over ranges, by a percentile of the absolute hold-out error."""
     names = {"n_estimators": "trees", "min_samples_leaf": "min_leaf"}
+    data = forest.prepare(train, features)  # once for all trials
 
     def trial(drawn: Mapping[str, float]) -> float:
-        model = forest.train_forest(train, features, **fixed, **{names[k]: v for k, v in drawn.items()})
+        model = forest.train_forest(data, features, **fixed, **{names[k]: v for k, v in drawn.items()})
         return abs_error_percentiles(forest.predict(model, test), "prediction", "target", [share]).first()["value"]
     return tune.range_search(train.sparkSession, trial, ranges, max_jobs, max_parallel_jobs, seed, names)
 
