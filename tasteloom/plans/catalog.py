@@ -490,8 +490,8 @@ def als_end_to_end(spark, folder):
 @query()
 def als_grid_search(spark, folder):
     rows = split.hash_split(ratings(spark, folder), ["order_id", "line_no", "item"])
-    model, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"], parallelism=4)
-    held_out = als.score(als.of_model(model.bestModel), split.part(rows, "test")).first()["rmse"]
+    factors, trials = als.grid_search(split.part(rows, "train"), ["order_id", "line_no", "item"])
+    held_out = als.score(factors, split.part(rows, "test")).first()["rmse"]
     return trials.withColumn("best_holdout_rmse", F.lit(held_out))
 
 

@@ -83,8 +83,7 @@ def als_tune(rows: DataFrame, keys: Sequence[str], n: int = 10, user: str = "use
     test rows, and the trials."""
     coded, ratings = coded_ratings(rows, keys, user, item)
     train = write_once(part(ratings, "train"), "als-train")
-    model, trials = als.grid_search(train, keys, **grid)
-    factors = als.of_model(model.bestModel)
+    factors, trials = als.grid_search(train, keys, **grid)
     best = tune.best_trial(trials, "minimize", "rmse").first()
     metrics = als.metrics_row(als.score(factors, part(ratings, "test")), n, best["rank"], best["max_iter"],
                               best["reg_param"], best["alpha"])
