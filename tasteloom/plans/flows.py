@@ -111,12 +111,16 @@ def fm_recommend(rows: DataFrame, order: Sequence[str], k: int = 10, metric: str
 
 def fm_search(train: DataFrame, test: DataFrame, ranges: Mapping[str, tuple[float, float]],
               fixed: Mapping[str, object] | None = None, solver: str = "alternating", max_jobs: int = 6,
-              max_parallel_jobs: int = 3, seed: int = 17) -> DataFrame:
-    """Trials of a factorization machine over ranges of hyperparameters, by hold-out RMSE."""
+              max_parallel_jobs: int = 3, seed: int = 17, strategy: str = "random") -> DataFrame:
+    """Trials of a factorization machine over ranges of hyperparameters, by hold-out RMSE. The rows are
+    indexed and laid out once for all trials."""
+    tune.check_ranges(ranges, fm.tunable(solver))  # before any job runs
+    data = fm.prepare(train, solver)
+
     def trial(drawn: Mapping[str, float]) -> float:
-        model = fm.train_fm(train, solver=solver, **fm.settings({**(fixed or {}), **drawn}, solver))
+        model = fm.train_fm(data, solver=solver, **fm.settings({**(fixed or {}), **drawn}, solver))
         return fm.score(model, test).first()["rmse"]
-    return tune.range_search(train.sparkSession, trial, ranges, max_jobs, max_parallel_jobs, seed, fm.tunable(solver))
+    return tune.range_search(train.sparkSession, trial, ranges, max_jobs, max_parallel_jobs, seed, fm.tunable(solver), strategy)
 
 
 def forest_search(train: DataFrame, test: DataFrame, features: Sequence[str], ranges: Mapping[str, tuple[float, float]],

@@ -8,8 +8,8 @@ import __spark_entry__ as driver
 from check import compare
 
 FOLDER = "/root/testdata/sf0.001"
-# Searches over many models: their parts are tested in test_models.py.
-LONG = {"als_grid_search", "fm_range_search", "range_search", "tuning_cost"}
+# Searches over many models and long fits: their parts are tested in test_models.py.
+LONG = {"als_grid_search", "fm_range_search", "fm_train_stratified", "range_search", "tuning_cost"}
 
 
 @pytest.fixture(scope="module")
