@@ -69,7 +69,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) as Hadoop knows them."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
@@ -78,9 +78,9 @@ def _files(spark: SparkSession, path: str):
 def replace_folder(spark: SparkSession, new: str, path: str) -> None:
     """Put the complete folder `new` in the place of `path`. Two renames: a reader finds the old
     folder, for a moment none, then the new one, but never a part of either."""
-    system, fresh = _files(spark, new)
-    _, target = _files(spark, path)
-    _, old = _files(spark, f"{path.rstrip('/')}-old-{uuid.uuid4().hex}")
+    system, fresh = hadoop_path(spark, new)
+    _, target = hadoop_path(spark, path)
+    _, old = hadoop_path(spark, f"{path.rstrip('/')}-old-{uuid.uuid4().hex}")
     if system.exists(target) and not system.rename(target, old):
         raise OSError(f"cannot move {path} aside")
     if not system.rename(fresh, target):
@@ -90,7 +90,7 @@ def replace_folder(spark: SparkSession, new: str, path: str) -> None:
 
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Call it when its results are saved."""
-    system, path = _files(spark, run_dir(spark))
+    system, path = hadoop_path(spark, run_dir(spark))
     system.delete(path, True)
 
 
