@@ -1,0 +1,101 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import values
+from tasteloom.operators import als, dictionary, encode, fm
+from tasteloom.session import new_path
+from tasteloom.sources import versions
+
+
+def labels(spark, *found):
+    return spark.createDataFrame([(x,) for x in found], "name string")
+
+
+def test_known_labels_keep_their_code(spark):
+    place = new_path(spark, "dict")
+    first = labels(spark, "b", "d", "b", None, "")
+    assert values(dictionary.extend(first, "name", place)) == values(encode.dense_index(first, "name"))
+    second = dictionary.extend(labels(spark, "a", "c", "d", "d", "a", "a"), "name", place)
+    assert values(second) == [("", 0, 0), ("a", 3, 3), ("b", 1, 0), ("c", 4, 1), ("d", 2, 2)]
+    assert values(dictionary.read_dictionary(spark, place)) == [("", 0), ("a", 3), ("b", 1), ("c", 4), ("d", 2)]
+    assert values(dictionary.read_dictionary(spark, place, 1)) == [("", 0), ("b", 1), ("d", 2)]
+    dictionary.extend(labels(spark, "a"), "name", place)  # nothing new: no version
+    assert versions.current(spark, f"{place}/_versions").number == 2
+
+
+def test_empty_rows_and_unknown_versions(spark):
+    place = new_path(spark, "dict")
+    with pytest.raises(FileNotFoundError):
+        dictionary.read_dictionary(spark, place)
+    assert values(dictionary.extend(spark.createDataFrame([], "name string"),
+                                    "name", place)) == []
+    assert values(dictionary.extend(labels(spark, "x"), "name", place)) == [("x", 0, 1)]
+    with pytest.raises(FileNotFoundError):
+        dictionary.read_dictionary(spark, place, 9)
+
+
+def test_many_parts_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "MERGE_PARTS", 3)
+    place = new_path(spark, "dict")
+    for n in range(4):
+        dictionary.extend(labels(spark, f"l{9 - n}", "l9"), "name", place)
+    found = versions.history(spark, f"{place}/_versions")
+    assert [len(v.value["parts"]) for v in found] == [1, 2, 1, 2] and [v.value["size"] for v in found] == [1, 2, 3, 4]
+    assert values(dictionary.read_dictionary(spark, place)) == [("l6", 3), ("l7", 2), ("l8", 1), ("l9", 0)]
+    assert values(dictionary.read_dictionary(spark, place, 2)) == [("l8", 1), ("l9", 0)]
+
+
+@pytest.fixture(scope="module")
+def grown(spark):
+    """Planted rows of a factor model; the second table has all of the first, more of its users, and new ones."""
+    pick = np.random.default_rng(5)
+    users, items = pick.normal(0, 1, (60, 3)), pick.normal(0, 1, (40, 3))
+    rows = [(f"u{u}", f"i{i}", float(10 + 2 * users[u] @ items[i] + pick.normal(0, 0.1)))
+            for u in range(60) for i in pick.choice(40, 24, replace=False)]
+    frame = lambda part: spark.createDataFrame(part, "user_id string, item_id string, q double").cache()
+    return frame([r for r in rows if int(r[0][1:]) < 54]), frame(rows)
+
+
+def test_warm_factorization_machine(spark, grown):
+    early, late = grown
+    place = new_path(spark, "codes")
+    settings = {"factors": 3, "reg": 0.05}
+    index = dictionary.extend_pair(early, place)
+    before = fm.train_alternating(fm.arrange_alternating(early, index=index), sweeps=5, **settings)
+    codes = values(index.users.select("label", "idx"))
+    index = dictionary.extend_pair(late, place)
+    assert set(codes) < set(values(index.users.select("label", "idx"))) and index.nb_users == 60
+    data = fm.arrange_alternating(late, index=index)
+    error = lambda model: fm.score(model, late).first()["rmse"]
+    cold, warm = (error(fm.train_alternating(data, sweeps=1, start=s, **settings)) for s in (None, before))
+    assert warm < 0.5 * cold and warm <= 1.1 * error(fm.train_alternating(data, sweeps=5, **settings))
+
+
+def test_warm_als(spark, grown):
+    early, late = grown
+    place = new_path(spark, "codes")
+
+    def coded(rows):
+        index = dictionary.extend_pair(rows, place)
+        return encode.encode_pairs(rows, index.users, index.items).select(
+            F.col("user_idx").alias("user"), F.col("item_idx").alias("item"), F.round(F.col("q") - 10).alias("q"))
+
+    before = als.train(coded(early), "split", rank=3, max_iter=4)
+    ratings = coded(late)
+    one, warm, full = (als.train(ratings, "split", rank=3, max_iter=n, start=s)
+                       for n, s in ((1, None), (1, before), (4, None)))
+    error = lambda f: als.predict(f, ratings).agg(
+        F.avg((1 + F.abs("q")) * F.pow(F.col("prediction") - (F.col("q") > 0).cast("int"), 2))).first()[0]
+    assert error(warm) < error(one) and abs(error(warm) - error(full)) < abs(error(one) - error(full))
+    with pytest.raises(ValueError, match="rank"):
+        als.train(ratings, "split", rank=4, max_iter=1, start=before)
+
+
+def test_labels_without_rows_here_do_no_harm(spark, grown):
+    early, late = grown
+    place = new_path(spark, "codes")
+    dictionary.extend_pair(late, place)
+    index = dictionary.extend_pair(early, place)  # six users have no rows now
+    model = fm.train_alternating(fm.arrange_alternating(early, index=index, rows_per_split=10), factors=3, reg=0.05, sweeps=3)
+    assert fm.score(model, early).first()["rmse"] < 1.0
