@@ -26,7 +26,13 @@ def general_recommendation(recs: DataFrame, quotas: dict[str, int] = GROUP_QUOTA
     The constant bound on the rank lets Spark cut each group before the shuffle, so a group's
     whole catalogue never meets in one task.
     """
-    counted = popularity(recs.where(F.col(group).isin(list(quotas))), group, item)
+    return quota_heads(popularity(recs.where(F.col(group).isin(list(quotas))), group, item), quotas, group, item)
+
+
+def quota_heads(counted: DataFrame, quotas: dict[str, int] = GROUP_QUOTAS, group: str = "grp",
+                item: str = "item_id") -> DataFrame:
+    """The same from (group, item, n) that are counted already."""
+    counted = counted.where(F.col(group).isin(list(quotas)))
     ranked = counted.withColumn("rn", F.row_number().over(
         Window.partitionBy(group).orderBy(F.col("n").desc(), item)))
     quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])[F.col(group)]

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tasteloom.functions import scalars
-from tasteloom.operators import als, clean, encode, evaluate, fm, forest, monitor, normal, recommend, split, tune
+from tasteloom.operators import als, clean, dictionary, encode, evaluate, fm, forest, monitor, normal, recommend, split, tune
 from tasteloom.operators.knn import knn
 from tasteloom.plans import flows
 from tasteloom.plans.tables import (
     AS_OF, DAYS, EXCLUDED, ORDER, QUOTAS, cleaned, factor_table, interactions, ratings, recent_interactions,
     table, vectors, watchlist)
 from tasteloom.session import new_path, write_once
-from tasteloom.sources import files
-from tasteloom.streaming import monitors as streams
+from tasteloom.sources import daily, files, versions
+from tasteloom.streaming import monitors as streams, restate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -275,6 +276,40 @@ def feature_target_split(spark, folder):
     return split.feature_target_split(lines, "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query(f"WITH {_C} SELECT grp, item_id, count(*) AS n FROM c GROUP BY ALL")
+def publish_version(spark, folder):
+    """Two runs published behind one pointer, of which readers get the second."""
+    rows, place = cleaned(spark, folder), new_path(spark, "latest")
+    for found in (recommend.popularity(rows.where("q > 25")), recommend.popularity(rows)):
+        versions.publish_version(found, new_path(spark, "run"), place)
+    return versions.read_latest(spark, place, found.schema)
+
+
+_WINDOW_C = _C + f""", r AS (SELECT * FROM c WHERE ts BETWEEN DATE '{AS_OF - timedelta(DAYS)}' AND DATE '{AS_OF}')"""
+
+
+def _moved_window(spark, folder):
+    """Sums of the window, reached from the one that ends a month before."""
+    place = new_path(spark, "days")
+    daily.store_days(cleaned(spark, folder), place, keep_rows=False)
+    for days in (30, 1, 0):
+        sums = daily.window_sums(spark, place, AS_OF - timedelta(days), DAYS)
+    return sums
+
+
+@query(f"""WITH {_WINDOW_C}, n AS (SELECT grp, item_id, count(*) AS n FROM r GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, item_id) AS rn FROM n)
+SELECT grp, item_id, n FROM k JOIN (VALUES ('ECONOMY', 3), ('SMALL', 3), ('PROMO', 4)) v(g, quota) ON g = grp
+WHERE rn <= quota""")
+def general_recommendation_window(spark, folder):
+    return recommend.quota_heads(daily.popularity(_moved_window(spark, folder)), QUOTAS)
+
+
+@query(f"WITH {_WINDOW_C} SELECT CAST(user_id AS VARCHAR) AS user_id, count(q) AS n FROM r GROUP BY ALL")
+def user_counts_window(spark, folder):
+    return daily.user_counts(_moved_window(spark, folder))
+
+
 # ---------------------------------------------------------------- aggregates and codes
 
 @query(f"WITH {_C} SELECT user_id, count(q) AS n FROM c GROUP BY user_id")
@@ -337,6 +372,15 @@ def ordinal_encode(spark, folder):
     return encode.ordinal_encode(rows, "item_id", encode.dense_index(rows, "item_id"), "item_code")
 
 
+@query(f"""WITH {_C}, l AS (SELECT item_id, min(ts) >= TIMESTAMP '1998-01-01' AS late, count(*) AS n FROM c GROUP BY ALL)
+SELECT item_id AS label, row_number() OVER (ORDER BY late, item_id) - 1 AS idx, n FROM l""")
+def append_only_index(spark, folder):
+    """Codes of the items up to a date, with those of later items added behind."""
+    rows, place = write_once(cleaned(spark, folder), "cleaned"), new_path(spark, "dictionary")
+    dictionary.extend(rows.where("ts < timestamp_ntz'1998-01-01'"), "item_id", place)
+    return dictionary.extend(rows, "item_id", place)
+
+
 @query(SQL["ordinal_encode"])
 def ordinal_encode_hot(spark, folder):
     """Every item with more than 20 rows is split."""
@@ -946,6 +990,16 @@ def hourly_model_quality_two_streams(spark, folder):
     return rounded(_zoneless(found), "mae", "mse", "rmse", "r2")
 
 
+@query(f"WITH {_EV} {_MQ}")
+def hourly_model_quality_restated(spark, folder):
+    """Windows of any age take up the truths that a stream brings."""
+    events = table(spark, folder, "events")
+    truths = _truth(_stream(spark, folder))
+    place = new_path(spark, "restated")
+    restate.restate(truths, _event_predictions(events, events), "event_id", place, new_path(spark, "restate-state")).awaitTermination()
+    return rounded(_zoneless(restate.restated(spark, place)).select(*_MQ_COLUMNS), "mae", "mse", "rmse", "r2")
+
+
 _MB = f"""WITH {_EV}, o AS (SELECT avg(abs(prediction - label)) AS mae, sqrt(avg((prediction - label) ** 2)) AS rmse,
   count(*) FILTER (predicted = actual) / count(*) AS accuracy FROM e WHERE ts < TIMESTAMP '{_BASELINE_END}'),
  h AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, avg(abs(prediction - label)) AS mae,

@@ -1,0 +1,78 @@
+from datetime import datetime, timedelta
+
+import pytest
+
+from helpers import values
+from tasteloom.operators import evaluate, monitor
+from tasteloom.session import new_path
+from tasteloom.streaming import restate
+
+TRUTH = "id long, label double, actual int"
+
+
+@pytest.fixture(scope="module")
+def predictions(spark):
+    rows = [(n, datetime(2024, 1, 1) + timedelta(minutes=7 * n), float(n % 11), n % 2) for n in range(60)]
+    return spark.createDataFrame(rows, "id long, ts timestamp_ntz, prediction double, predicted int")
+
+
+def truth(spark, ids):
+    return spark.createDataFrame([(n, float(n % 5), n % 3 % 2) for n in ids], TRUTH)
+
+
+def run(spark, folder, predictions, place, state, files=1):
+    stream = spark.readStream.schema(TRUTH).option("maxFilesPerTrigger", files).parquet(folder)
+    restate.restate(stream, predictions, "id", place, state).awaitTermination()
+
+
+def expected(spark, predictions, ids):
+    found = monitor.model_quality(predictions.join(truth(spark, ids), "id").withColumn("ts", predictions["ts"].cast("timestamp")), "ts",
+                                  evaluate.regression_metrics() + evaluate.binary_metrics())
+    return found.select("window_start", "n", "mae", "mse", "rmse", "r2", "tp", "fp", "fn", "tn")
+
+
+def same(found, want):
+    a, b = values(found), values(want)
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_late_truth_changes_its_window_once(spark, predictions):
+    folder, place, state = (new_path(spark, n) for n in ("truths", "place", "state"))
+    truth(spark, range(30, 60)).coalesce(1).write.parquet(folder)
+    run(spark, folder, predictions, place, state)
+    same(restate.restated(spark, place), expected(spark, predictions, range(30, 60)))
+    truth(spark, [*range(0, 30, 2), 999]).coalesce(1).write.mode("append").parquet(folder)  # days behind; 999 is unknown
+    run(spark, folder, predictions, place, state)
+    want = expected(spark, predictions, [*range(30, 60), *range(0, 30, 2)])
+    same(restate.restated(spark, place), want)
+    run(spark, folder, predictions, place, state)  # a restart brings nothing twice
+    same(restate.restated(spark, place), want)
+
+
+def test_a_repeated_batch_replaces_itself(spark, predictions):
+    folder, place, state = (new_path(spark, n) for n in ("truths", "place", "state"))
+    truth(spark, range(20)).coalesce(1).write.parquet(folder)
+    run(spark, folder, predictions, place, state)
+    run(spark, folder, predictions, place, new_path(spark, "state"))  # as if the batch's end had not been noted
+    same(restate.restated(spark, place), expected(spark, predictions, range(20)))
+
+
+def test_folding_keeps_the_metrics(spark, predictions):
+    folder, place, state = (new_path(spark, n) for n in ("truths", "place", "state"))
+    for ids in (range(10), range(10, 20), range(20, 30), range(30, 40)):
+        truth(spark, ids).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, predictions, place, state)
+    want = expected(spark, predictions, range(40))
+    for _ in range(2):
+        restate.fold(spark, place)
+        same(restate.restated(spark, place), want)
+    truth(spark, range(40, 60)).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, predictions, place, state)
+    restate.fold(spark, place)
+    same(restate.restated(spark, place), expected(spark, predictions, range(60)))
+
+
+def test_an_empty_store(spark):
+    assert values(restate.restated(spark, new_path(spark, "place"))) == []
