@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tasteloom.functions import scalars
-from tasteloom.operators import als, clean, dictionary, encode, evaluate, fm, forest, monitor, normal, recommend, split, tune
+from tasteloom.operators import als, clean, dictionary, distribution, encode, evaluate, fm, forest, monitor, normal, recommend, split, tune
 from tasteloom.operators.knn import knn
 from tasteloom.plans import flows
 from tasteloom.plans.tables import (
@@ -952,6 +952,28 @@ def latest_events(spark, folder):
     return monitor.latest(table(spark, folder, "events").select("event_id", "ts", "event_type", "value"), "ts", "event_id")
 
 
+_SKETCHED = ["value", "user_id", "event_type"]
+
+
+@query("""SELECT "column", n_rows, completeness, min, max, round(mean, 6) AS mean FROM (
+ SELECT 'value' AS "column", count(*) AS n_rows, count(value) / count(*) AS completeness, min(value) AS min, max(value) AS max,
+  avg(value) AS mean FROM events
+ UNION ALL SELECT 'user_id', count(*), count(user_id) / count(*), min(user_id)::DOUBLE, max(user_id)::DOUBLE, avg(user_id) FROM events
+ UNION ALL SELECT 'event_type', count(*), count(event_type) / count(*), NULL, NULL, NULL FROM events)""")
+def sketched_profile(spark, folder):
+    """The exact part of a profile that is merged from hourly sketches."""
+    kept = write_once(distribution.sketch(table(spark, folder, "events"), _SKETCHED), "sketches")
+    return rounded(distribution.describe(distribution.merge(kept)), "mean").drop("n_distinct", "quantiles")
+
+
+@query()
+def sketched_drift(spark, folder):
+    """Each hour's distance from the first month, both from the hourly sketches."""
+    kept = write_once(distribution.sketch(table(spark, folder, "events"), _SKETCHED), "sketches")
+    baseline = distribution.merge(kept.where(F.col("window_start") < F.lit(_BASELINE_END).cast("timestamp_ntz")))
+    return distribution.drift(kept, baseline)
+
+
 # ---------------------------------------------------------------- streaming
 
 def _stream(spark, folder):

@@ -1,0 +1,63 @@
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+
+from helpers import values
+from tasteloom.operators import distribution
+from tasteloom.session import write_once
+
+
+@pytest.fixture(scope="module")
+def drawn():
+    pick = np.random.default_rng(3)
+    return np.concatenate([pick.normal(0, 1, 15_000), pick.exponential(5, 15_000), np.full(6_000, 2.0)])
+
+
+@pytest.fixture(scope="module")
+def kept(spark, drawn):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=n % 24), float(x), f"v{n % 3000}") for n, x in enumerate(drawn)]
+    return write_once(distribution.sketch(spark.createDataFrame(rows, "ts timestamp_ntz, x double, s string"), ["x", "s"]), "sketches")
+
+
+def test_merged_quantiles_and_distinct_counts_are_within_the_bound(spark, drawn, kept):
+    assert kept.count() == 48
+    shares = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+    found = {r["column"]: r for r in distribution.describe(distribution.merge(kept), shares).collect()}
+    x = found["x"]
+    assert (x["n_rows"], x["completeness"], x["min"], x["max"]) == (len(drawn), 1.0, drawn.min(), drawn.max())
+    assert x["mean"] == pytest.approx(drawn.mean())
+    for share, value in x["quantiles"]:  # a value held by many rows covers a range of ranks
+        assert (drawn < value).mean() - 0.005 <= share <= (drawn <= value).mean() + 0.005
+    assert found["s"]["n_distinct"] == pytest.approx(3000, rel=0.05)
+    assert [q["value"] for q in found["s"]["quantiles"]] == [None] * 7 and found["s"]["mean"] is None
+
+
+def test_merging_in_two_steps_gives_the_same_counts(spark, kept):
+    halves = distribution.merge(kept.withColumn("half", (kept["window_start"] < datetime(2024, 1, 1, 12)).cast("int")), "half")
+    columns = ["column", "n_rows", "n_present", "n_numbers", "min", "max"]
+    assert values(distribution.merge(halves), *columns) == values(distribution.merge(kept), *columns)
+
+
+def test_drift_is_near_nothing_for_the_same_and_near_one_for_another_place(spark, kept, drawn):
+    baseline = distribution.merge(kept)
+    assert {r["column"] for r in distribution.drift(kept, baseline).collect()} == {"x"}
+    assert all(r["distance"] < 0.08 for r in distribution.drift(kept, baseline).collect())
+    moved = spark.createDataFrame([(datetime(2024, 2, 1), float(x) + 100) for x in drawn[:500]], "ts timestamp_ntz, x double")
+    assert distribution.drift(distribution.sketch(moved, ["x"]), baseline).first()["distance"] > 0.9
+
+
+def test_nulls_numbers_that_are_none_and_empty_tables(spark):
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(at, None, None), (at, float("nan"), 1), (at, float("inf"), 1), (at, 3.0, None), (None, 9.0, 9)],
+                                 "ts timestamp_ntz, x double, allnull int")
+    found = distribution.describe(distribution.merge(distribution.sketch(rows, ["x", "allnull"])), [0.5])
+    x = found.where("column = 'x'").first()
+    assert (x["n_rows"], x["completeness"], x["n_distinct"], x["min"], x["max"], x["mean"]) == (4, 0.75, 3, 3.0, 3.0, 3.0)
+    assert x["quantiles"][0]["value"] == 3.0
+    none = distribution.sketch(rows.select("ts", rows["allnull"].cast("double").alias("x")).where("x is null"), ["x"])
+    assert values(distribution.describe(distribution.merge(none), [0.5]).select("n_rows", "completeness", "n_distinct", "mean")) == [
+        (2, 0.0, 0, None)]  # the rows with a time
+    empty = distribution.sketch(rows.where("false"), ["x"])
+    assert values(distribution.drift(empty, distribution.merge(empty))) == []
