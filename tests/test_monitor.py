@@ -1,10 +1,13 @@
+import math
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import values
+from tasteloom.functions import scalars
 from tasteloom.operators import evaluate, monitor
+from tasteloom.plans import catalog
 from tasteloom.session import new_path
 from tasteloom.streaming import monitors as streams
 
@@ -160,3 +163,28 @@ def test_two_streams_join_within_the_delay(spark):
     found = streams.run_available(streams.model_quality_two_streams(
         predictions, truths, "event_id", "truth_ts", evaluate.regression_metrics()), "mq")
     assert found.count() > 5 and {r["n"] for r in found.collect()} == {2}
+
+
+def test_a_mean_that_equals_the_threshold_is_not_above_it(spark):
+    """Added up as doubles, these values exceed 20 times 50 in one order and not in the other."""
+    cents = [9877, 123, 4999, 5001, 7013, 2987, 6789, 3211, 9991, 9, 8117, 1883, 5533, 4467, 6061, 3939, 9403, 597, 7777, 2223]
+    shares = [x / 100 for x in cents]
+    up = next(order for order in (sorted(shares), shares, sorted(shares, reverse=True), shares[::2] + shares[1::2], shares[10:] + shares[:10])
+              if sum_as_doubles(order) > 1000.0)
+    for order in (up, up[::-1], sorted(up)):
+        folder = new_path(spark, "events")
+        rows = [(n, at(n % 3), 1, "a", v) for n, v in enumerate(order)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(
+            f"{folder}/events.parquet")
+        found = catalog.QUERIES["model_quality_binary"](spark, folder).first()
+        assert (found["tp"], found["fp"], found["fn"], found["tn"]) == (0, 0, 10, 10)
+    odd = spark.createDataFrame([(1, 1e30), (1, 2e30), (2, 1e-20), (2, 3e-20), (3, float("nan")), (4, None)], "k int, v double")
+    means = {r["k"]: r["m"] for r in odd.groupBy("k").agg(scalars.exact_mean("v").alias("m")).collect()}
+    assert means[1] == pytest.approx(1.5e30) and means[2] == pytest.approx(2e-20) and math.isnan(means[3]) and means[4] is None
+
+
+def sum_as_doubles(values_):
+    total = 0.0
+    for v in values_:
+        total += v
+    return total
