@@ -10,25 +10,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tasteloom.functions.scalars import abs_error, squared_error
 from tasteloom.session import hadoop_path
 from tasteloom.sources import versions
 
-SUMS = ("window_start timestamp, n long, abs_sum double, square_sum double, label_sum double, label_square_sum double, "
+SUMS = ("window_start timestamp, n long, abs_sum double, square_sum double, label_sum double, label_gap_sum double, "
         "tp long, fp long, fn long, tn long")
 NAMES = [part.split()[0] for part in SUMS.split(", ")][1:]
 
 
 def window_sums(scored: DataFrame, ts: str = "ts", width: str = "1 hour", prediction: str = "prediction",
                 label: str = "label", predicted: str = "predicted", actual: str = "actual") -> DataFrame:
-    """The sums of `NAMES` per window: everything the metrics need, and mergeable by addition."""
+    """The sums of `NAMES` per window: everything the metrics need. All but `label_gap_sum`, the squared gaps of the
+    labels to their mean, merge by addition; `_total` adds to that what lies between the batches' means."""
     label_value = F.col(label).cast("double")
     hits = [F.count_if((F.col(predicted) == p) & (F.col(actual) == a)) for p, a in ((1, 1), (1, 0), (0, 1), (0, 0))]
     sums = [F.count(F.lit(1)), F.sum(abs_error(prediction, label)), F.sum(squared_error(prediction, label)),
-            F.sum(label_value), F.sum(label_value * label_value), *hits]
+            F.sum(label_value), F.var_pop(label_value) * F.count(label_value), *hits]
     return (scored.groupBy(F.window(F.col(ts).cast("timestamp"), width)["start"].alias("window_start"))
             .agg(*[c.alias(n) for c, n in zip(sums, NAMES)]))
 
@@ -62,6 +63,9 @@ def _batches(spark: SparkSession, place: str, after: int) -> list[int]:
 def _total(spark: SparkSession, place: str, state: versions.Version | None, batches: list[int]) -> DataFrame:
     paths = [f"{place}/batch={n}" for n in batches] + ([state.value["sums"]] if state else [])
     found = spark.read.schema(SUMS).parquet(*paths) if paths else spark.createDataFrame([], SUMS)
+    window = Window.partitionBy("window_start")  # a row per batch that brought truths for it
+    gap = F.col("label_sum") / F.col("n") - F.sum("label_sum").over(window) / F.sum("n").over(window)
+    found = found.withColumn("label_gap_sum", F.col("label_gap_sum") + F.col("n") * gap * gap)
     return found.groupBy("window_start").agg(*[F.sum(n).alias(n) for n in NAMES])
 
 
@@ -84,8 +88,8 @@ def restated(spark: SparkSession, place: str) -> DataFrame:
     total = _total(spark, place, state, _batches(spark, place, state.value["through"] if state else -1))
     mse = F.col("square_sum") / F.col("n")
     mean = F.col("label_sum") / F.col("n")
-    spread = F.col("label_square_sum") / F.col("n") - mean * mean
+    spread = F.col("label_gap_sum") / F.col("n")
     return total.select(
         "window_start", "n", (F.col("abs_sum") / F.col("n")).alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
-        # Differences of sums leave rounding where all labels are equal.
-        F.when(spread > 1e-12 * F.greatest(mean * mean, F.lit(1e-300)), 1 - mse / spread).alias("r2"), "tp", "fp", "fn", "tn")
+        # Means of batches differ by rounding where all labels are equal.
+        F.when(spread > 1e-28 * F.greatest(mean * mean, F.lit(1e-300)), 1 - mse / spread).alias("r2"), "tp", "fp", "fn", "tn")

@@ -76,3 +76,17 @@ def test_folding_keeps_the_metrics(spark, predictions):
 
 def test_an_empty_store(spark):
     assert values(restate.restated(spark, new_path(spark, "place"))) == []
+
+
+def test_labels_far_from_zero_and_close_together(spark, predictions):
+    """Sums of squares would lose the spread of such labels, within a batch and between batches."""
+    folder, place, state = (new_path(spark, n) for n in ("truths", "place", "state"))
+    for low in (0, 3):
+        rows = [(n, 1e6 + n % 5 * 1e-3, 1) for n in range(low, 60, 6)]
+        spark.createDataFrame(rows, TRUTH).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, predictions, place, state)
+    truths = spark.read.schema(TRUTH).parquet(folder)
+    joined = predictions.join(truths, "id").withColumn("ts", predictions["ts"].cast("timestamp"))
+    want = {r["window_start"]: r["r2"] for r in monitor.model_quality(joined, "ts", evaluate.regression_metrics()).collect()}
+    got = {r["window_start"]: r["r2"] for r in restate.restated(spark, place).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
