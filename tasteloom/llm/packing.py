@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tasteloom.llm.arrays import give_back
 from tasteloom.llm.tokens import encoder
 from tasteloom.session import write_once
 
@@ -67,6 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, small: int
                 if keep_ids:
                     arrays, names = [*arrays, pa.array(columns[5], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
         task, _PIECES_DDL + (", ids binary" if keep_ids else ""))
 

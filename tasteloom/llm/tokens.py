@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Callable
+from string import punctuation
 
 import numpy as np
 
 END_ID = 2
-CACHE_WORDS = 700_000  # about 150 MB in a Python worker
+CACHE_WORDS = 350_000  # about 75 MB in a Python worker
 LONGEST = 64  # characters of a word that is remembered
-BLOCK = 2048  # new words encoded at a time
+BLOCK = 256  # new words encoded at a time
+PROBES = ("a", "I", "The", "house", "zqxjk", "tokenIZATION", "s", "Ll", "Pour,", "end.)", "dogs'", "so...!", "a',", "x_", "B~`")
 
 # White space besides the space and the line feed, with the control characters that str.split takes
 # for such (fixed values).
@@ -28,7 +32,8 @@ def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     Ids are those of a plain call of the tokenizers library with add_special_tokens=False. Both kinds of tokenizers here end a
     token where a word ends and white space follows, so where words are divided by a single space or
     line feed, a text's ids are those of its words, each with the character before it if the tokenizer
-    looks at that. Other texts, and texts
+    looks at that. ASCII letters, and a tail of ASCII punctuation, are one piece each of both pre-tokenizers, so the
+    library's model alone encodes them. Other texts, and texts
     that may hold the literal of an added token, are encoded as a whole. The ids of the first CACHE_WORDS different words
     a worker meets, which include all common ones, are remembered; others are encoded whenever they
     come.
@@ -52,11 +57,38 @@ def encoder(path: str) -> tuple[Callable[[list], list[bytes]], np.dtype]:
     mark, divider = ("\n", "\n") if spaced else ("7", " 7 ")
     divider_id = int(np.frombuffer(ids([mark])[0], kind)[0])
 
+    # What the model gets of ASCII letters and a tail of ASCII punctuation, if this tokenizer treats them so: else
+    # such words go the whole way.
+    lowered, head, tokenize = ids(["A"]) == ids(["a"]), "\u0120" if spaced else "", tokenizer.model.tokenize
+
+    def piece(text: str) -> bytes:
+        return array(kind.char, [t.id for t in tokenize(text)]).tobytes()
+    tails: dict[str, bytes] = {"": b""}
+
+    def by_model(word: str) -> bytes | None:
+        """The ids of a word of letters and a tail, else None."""
+        letters = word.rstrip(punctuation)
+        if not (letters.isascii() and letters.isalpha()):
+            return None
+        tail = word[len(letters):]
+        if tail not in tails:
+            if len(tails) > 10_000:
+                tails.clear()
+                tails[""] = b""
+            tails[tail] = piece(tail)
+        return (known.get(letters) or piece(head + (letters.lower() if lowered else letters))) + tails[tail]
+    if sys.byteorder != "little" or list(map(by_model, PROBES)) != ids([" " + w if spaced else w for w in PROBES]):
+        by_model = None
+
     def words(text: str) -> list[str]:
         """The words; with `spaced`, a line feed stays before its word and a space before it is implied."""
         return text.replace("\n", " \n").split(" ") if spaced else text.split()
 
     def learn(new: list[str]) -> None:
+        if by_model:
+            quick = list(map(by_model, new))
+            known.update((w, i) for w, i in zip(new, quick) if i is not None)
+            new = [w for w, i in zip(new, quick) if i is None]
         chunks = [w if w[:1] == "\n" else " " + w for w in new] if spaced else new
         alone = [k for k, c in enumerate(chunks) if mark in c]
         known.update(zip([new[k] for k in alone], ids([chunks[k] for k in alone])))

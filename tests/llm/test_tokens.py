@@ -139,3 +139,36 @@ def test_piece_lengths():
         for total in range(1, 3 * capacity):
             lengths = packing.piece_lengths(total, capacity, small)
             assert sum(lengths) == total and all(n <= small or n == capacity // (capacity // n) for n in lengths)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_letters_and_a_tail_take_the_model_alone(name, monkeypatch):
+    """Normalizer and pre-tokenizer are most of the work for a new word; these words are one piece or two anyway."""
+    import tokenizers
+    from tasteloom.llm import tokens
+    whole, sent = tokenizers.Tokenizer, []
+
+    class Counting:
+        @staticmethod
+        def from_file(path):
+            return Counting(whole.from_file(path))
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, key):
+            return getattr(self.inner, key)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    monkeypatch.setattr(tokens, "_known", {})
+    encode, kind = tokens.encoder(public_tokenizers.path(name))
+    sent.clear()
+    mixed = "9x " + " ".join(f"{'qz' * (n % 7)}Word{'abcdefghij'[n % 10] * (n % 5)}{[',', '.', '?!', chr(39), '...)', ''][n % 6]}" for n in range(500))
+    plain = mixed + " é1 don't x-y ab" + chr(39) + "s 12,"
+    found = encode([plain])[0]
+    assert sum(map(len, sent)) < 100
+    want = whole.from_file(public_tokenizers.path(name)).encode(plain, add_special_tokens=False).ids
+    assert np.frombuffer(found, kind).tolist() == [*want, tokens.END_ID]
