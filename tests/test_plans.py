@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from tasteloom.operators import normal, recommend, split
 from tasteloom.operators.skew import ROWS_PER_SPLIT, join_by_key
-from tasteloom.plans import tables
+from tasteloom.plans import catalog, tables
 from tasteloom.session import write_once
 
 BATCH = ["rolling_window", "clean_interactions", "leave_last_out", "multi_interaction_users", "train_rows_anti",
@@ -114,3 +114,17 @@ def test_skewed_dimension_join_is_split_at_run_time(spark, no_broadcast):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["als_top_n", "als_top_n_blocked", "als_end_to_end", "fm_knn_end_to_end"])
+def test_lists_of_models_are_made_for_every_twentieth_user(spark, small, name, monkeypatch):
+    """Whole lists against all items, and the same ones as among those of all users."""
+    def lists(df):
+        df = df.drop("rating", "distance")
+        return {tuple(r) for r in df.collect()}
+    some = lists(driver.queries()[name](spark, small))
+    monkeypatch.setattr(catalog, "ASKED", None)
+    every = lists(driver.queries()[name](spark, small))
+    user = lambda rows: {r[0] for r in rows}
+    assert some < every and 0 < len(user(some)) <= len(user(every)) / 20 + 1
+    assert some == {r for r in every if r[0] in user(some)}
