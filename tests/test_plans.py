@@ -1,5 +1,6 @@
 """What the physical plans must look like."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,13 @@ def test_lists_of_models_are_made_for_every_twentieth_user(spark, small, name, m
     user = lambda rows: {r[0] for r in rows}
     assert some < every and 0 < len(user(some)) <= len(user(every)) / 20 + 1
     assert some == {r for r in every if r[0] in user(some)}
+
+
+def test_texts_reach_python_in_batches_of_a_few_megabytes(spark):
+    """Not in ten thousand rows, whatever their length."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+    texts = spark.range(0, 8_000, 1, 1).selectExpr("repeat('x', 2000) as text")
+    found = [r["bytes"] for r in texts.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) > 16_000_000 and max(found) < 5_000_000
