@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from helpers import values
-from tasteloom.operators import encode, order
+from tasteloom.operators import encode, order, split
 from tasteloom.sources import files
 from tasteloom.session import new_path
 
@@ -45,6 +45,32 @@ def test_unseen_item_gives_one_non_zero(spark):
         (3.0, 0, 1.0), (4.0, 1, 1.0), (4.0, 2, 1.0)]
 
 
+def test_split_and_encode_equals_the_three_steps(spark):
+    """Users with one row, without a value or without an id; items whose only row is held out; a hot key."""
+    pick = random.Random(8)
+    rows = [(pick.choice([None, *range(30)]), str(pick.randint(1, 60)), pick.choice([None, 1.0, 2.0]), pick.randint(1, 9)) for _ in range(200)]
+    rows += [(50, "lone", 1.0, 99), (50, "1", 1.0, 1), (51, "2", 1.0, 1), (52, "2", None, 1)] + [(53, "3", 1.0, 5)] * 40
+    rows += [(54, None, 1.0, 3), (54, "4", 2.0, 2)]
+    df = spark.createDataFrame(rows, "user_id long, item_id string, q double, ts long").repartition(3)
+    done = split.leave_last_out(df, ["ts", "item_id"])
+    index = encode.pair_index(split.part(done, "train"))
+    want = encode.encode_pairs(done, index.users, index.items)
+    for limit in (1_000_000, 10):
+        got, found = encode.split_and_encode(df, ["ts", "item_id"], rows_per_split=limit)
+        assert values(got, *want.columns) == values(want)
+        assert values(found.stacked) == values(index.stacked)
+        assert (found.nb_users, found.nb_items, found.most_rows) == (index.nb_users, index.nb_items, index.most_rows)
+
+
+def test_vectors_carry_no_names_of_slots(spark):
+    """The metadata of a column is kept on the driver and in each file, so it must not grow with the labels."""
+    rows = spark.range(3000).selectExpr("id as user_idx", "id as item_idx", "1.0D as q")
+    for sizes in (None, (3000, 3000)):
+        vectors = encode.one_hot_vectors(rows, rows, sizes=sizes)
+        assert len(vectors.schema.json()) < 2000
+        assert vectors.where("user_idx = 2999").first()["features"].indices.tolist() == [2999, 5999]
+
+
 def test_percentiles_match_numpy(spark):
     pick = np.random.default_rng(5)
     data = np.concatenate([pick.normal(size=3000).round(2), np.full(2000, 0.25)])
