@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from helpers import values
 from tasteloom.operators import normal, recommend, split
 from tasteloom.operators.skew import ROWS_PER_SPLIT, join_by_key
 from tasteloom.plans import catalog, tables
@@ -139,3 +140,11 @@ def test_texts_reach_python_in_batches_of_a_few_megabytes(spark):
     texts = spark.range(0, 8_000, 1, 1).selectExpr("repeat('x', 2000) as text")
     found = [r["bytes"] for r in texts.mapInArrow(sizes, "bytes long").collect()]
     assert sum(found) > 16_000_000 and max(found) < 5_000_000
+
+
+def test_ratings_are_split_before_the_joins(spark, small):
+    """The same parts as by the joined rows; order and line do not travel, and the joins are not in the plan of a reader."""
+    rows = catalog._split_ratings(spark, small)
+    assert rows.columns == ["user", "item", "q", "split"] and "Join" not in rows._jdf.queryExecution().toString()
+    whole = split.hash_split(tables.ratings(spark, small), ["order_id", "line_no", "item"])
+    assert values(rows) == values(whole, *rows.columns)
