@@ -68,6 +68,28 @@ def test_near_copies_on_one_host_keep_their_texts(spark):
         f"Title\n\nFirst\n\nSecond\n\nVersion {n}" for n in range(3)]
 
 
+def test_the_wrapper_tells_template_from_content_by_place(spark):
+    """The same text is template where every page has it, and content elsewhere: behind an optional group, in a
+    repeated one, or where pages have it in different places."""
+    shell = "<div class=top>Contact us</div>{b}<h5>Imprint</h5>"
+    bodies = ["<h2>One</h2><p>first</p><p>Contact us</p>", "<blockquote>Imprint</blockquote><h2>Two</h2><p>second</p>", "<h2>Three</h2><ul><li>a<li>Contact us</ul>"]
+    moved = ["<h2>Found here</h2><p>x1</p>", "<p>x2</p><h3>Found here</h3>", "<ul><li>x3<li>Found here</ul>"]
+    series = ["<h2>Head</h2><p>a</p>", "<h2>Head</h2><p>b</p><p>c</p>", "<p>d</p>"]
+    rows = [("http://a.example", shell.format(b=b)) for b in bodies] + [("http://b.example", b) for b in moved] + [
+        ("http://c.example", b) for b in series]
+    assert list(extract(spark, rows).values()) == [
+        "One\n\nfirst\n\nContact us", "Imprint\n\nTwo\n\nsecond", "Three\n\na\n\nContact us",
+        "Found here\n\nx1", "x2\n\nFound here", "x3\n\nFound here", "Head\n\na", "Head\n\nb\n\nc", "d"]
+
+
+def test_pages_are_read_along_the_wrapper():
+    wrapper = wrappers.numbered(wrappers.rule(["#root", "1", [["p", "?", [["#", "1", []]]], ["h2", "?", [["#", "1", []]]],
+                                                               ["p", "+", [["#", "1", []]]]]])["wrapper"])
+    places = [[p for _, p, _ in wrappers.placed_texts(h, wrapper)[0]] for h in (
+        "<p>x", "<p>x<h2>y</h2><p>z<p>z", "<h2>y</h2><p>z", "<p>x<div>other</div>")]
+    assert places == [[7], [3, 5, 7, 7], [5, 7], [7, 0]]
+
+
 def test_semantic_elements_and_lonely_pages(spark):
     rows = [("http://a.example/1", "<main><nav>x</nav><p>kept</main><p>not kept"),
             ("http://b.example/1", "<div class='post-content'><p>by class</div><div class=sidebar>no</div>out"),
