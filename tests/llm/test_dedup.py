@@ -1,9 +1,11 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import WORD, frame, hard_rows, sentence, shingles
 
@@ -216,3 +218,34 @@ def test_empty_tables(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
     assert neardup.near_duplicates(empty).count() == 0
     assert window_dedup.without_repeats(empty).count() == 0
+
+
+def peak_mb(mapper, batch):
+    """MB that a mapper holds at once, beside what it has yielded."""
+    list(mapper(iter([batch.slice(0, 1)])))  # tables that are kept
+    tracemalloc.start()
+    try:
+        for _ in mapper(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_follows_neither_the_batch_nor_the_group():
+    rng = np.random.default_rng(5)
+    anchor, count = bytes(range(97, 113)), 3000
+    around = rng.integers(32, 127, (count, 168), dtype=np.uint8)
+    pieces = [a[:84].tobytes() + anchor + a[84:].tobytes() for a in around]
+    numbers = [pa.array(np.full(count, n, np.int64)) for n in (7, 0, 85, 84)]
+    group = pa.RecordBatch.from_arrays([numbers[0], pa.array(np.arange(count)), *numbers[1:], pa.array(np.zeros(count, bool)),
+                                        pa.array(pieces, pa.binary())], schema=suffix_dedup._SEGMENT_SCHEMA)
+    assert peak_mb(suffix_dedup._sorted_groups(100), group) < 60
+
+    texts = pa.array(["".join(map(chr, rng.integers(32, 127, 1 << 15))) for _ in range(128)])
+    places = np.tile(((np.arange(700, dtype=np.int64) * 42 << 10) | 41) << 10 | 42, 128)
+    run = pa.StructArray.from_arrays([pa.array(np.arange(len(places))), pa.array(places), pa.array(np.full(len(places), 2))],
+                                     ["anchor", "place", "variants"])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(129, dtype=np.int32) * 700), run)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(128)), texts, lists], names=["doc_id", "text", "runs"])
+    assert peak_mb(suffix_dedup._segments(100, 4096), batch) < 10
